@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from .chat import op8_chat_format
 from .media import op7_mpeg_audio
+from .packing import op6_genetic_packing
 from .secrets import op9_entropy_secrets
 from .sharding import op10_best_fit_shards
+from .tokenfile import op5_huffman_ids
 
 QUERIES = {
+    "op5_huffman_ids": op5_huffman_ids,
+    "op6_genetic_packing": op6_genetic_packing,
     "op7_mpeg_audio": op7_mpeg_audio,
     "op8_chat_format": op8_chat_format,
     "op9_entropy_secrets": op9_entropy_secrets,
