@@ -3,8 +3,8 @@
 A document is cut into pieces of ``capacity`` tokens only where it is longer; full pieces are sequences
 of their own. The others are dealt at random to cells of about ``CELL`` pieces. For each cell several
 islands evolve a population of packings: the crossover injects whole well-filled bins of one parent
-into the other, removes the bins that hold a piece twice, and puts displaced pieces back by best fit,
-longest first. Between epochs each island's elite migrates to the next. A cell stops early when its
+into the other, removes the bins that hold a piece twice, exchanges displaced pieces for shorter ones
+where that fills a bin better, and puts the rest back by best fit, longest first. Between epochs each island's elite migrates to the next. A cell stops early when its
 bins are as few as its tokens allow. The worst-filled bins of 64 cells then form a new cell, and so on until
 one cell is left, so no more than a few bins of the whole are badly filled.
 
@@ -50,6 +50,33 @@ def best_fit(items: list[int], sizes: list[int], bins: Bins, capacity: int) -> B
     return bins
 
 
+def exchange(loose: list[int], sizes: list[int], bins: Bins, capacity: int) -> list[int]:
+    """Swaps one or two pieces of a bin for a longer loose one that fits; gives what is loose then.
+
+    Pairs are tried in bins of up to 8 pieces, single pieces in all bins.
+    """
+    pool = sorted((sizes[i], i) for i in loose)
+    for b in bins:
+        if not pool:
+            break
+        room = capacity - sum(sizes[i] for i in b)
+        if not room:
+            continue
+        outs = [(i,) for i in b] + ([(i, j) for k, i in enumerate(b) for j in b[k + 1 :]] if len(b) <= 8 else [])
+        best = None
+        for out in outs:
+            gone = sum(sizes[i] for i in out)
+            at = bisect_left(pool, (room + gone + 1, -1)) - 1
+            if at >= 0 and pool[at][0] > gone and (best is None or pool[at][0] - gone > best[0]):
+                best = (pool[at][0] - gone, at, out)
+        if best:
+            new = pool.pop(best[1])[1]
+            b[:] = [i for i in b if i not in best[2]] + [new]
+            for i in best[2]:
+                insort(pool, (sizes[i], i))
+    return [i for _, i in pool]
+
+
 def fitness(bins: Bins, sizes: list[int], capacity: int) -> float:
     """Fewer and more unevenly filled bins are better."""
     return -len(bins) + sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
@@ -67,7 +94,7 @@ def crossover(a: Bins, b: Bins, sizes: list[int], capacity: int, rng: np.random.
             kept.append(list(c))
         else:
             displaced += [i for i in c if i not in taken]
-    return best_fit(displaced, sizes, kept, capacity)
+    return best_fit(exchange(displaced, sizes, kept, capacity), sizes, kept, capacity)
 
 
 def mutation(a: Bins, sizes: list[int], capacity: int, rng: np.random.Generator) -> Bins:
@@ -75,7 +102,8 @@ def mutation(a: Bins, sizes: list[int], capacity: int, rng: np.random.Generator)
     worst = min(range(len(a)), key=lambda k: (sum(sizes[i] for i in a[k]), k))
     out = {worst, *rng.integers(0, len(a), size=3).tolist()}
     loose = [i for k in out for i in a[k]]
-    return best_fit(loose, sizes, [list(c) for k, c in enumerate(a) if k not in out], capacity)
+    kept = [list(c) for k, c in enumerate(a) if k not in out]
+    return best_fit(exchange(loose, sizes, kept, capacity), sizes, kept, capacity)
 
 
 def evolve(sizes: list[int], capacity: int, population: list[Bins], rng: np.random.Generator, generations: int = GENERATIONS) -> list[Bins]:
