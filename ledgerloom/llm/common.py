@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_ROOT: list[str] = []
 
@@ -59,3 +60,19 @@ def rows(batches: Iterator[pa.RecordBatch], step: int = 512) -> Iterator[pa.Reco
 def texts(column: pa.Array) -> list[str]:
     """Python strings of a text column; null becomes the empty text."""
     return [x or "" for x in column.to_pylist()]
+
+
+def join_hot_apart(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Left join on one key, unique in ``right``; hot keys don't meet in one task.
+
+    Keys that hold at least 1/``share`` of the rows of ``left`` (so ``share`` keys at most) are joined
+    by broadcast of their few rows of ``right``, the others by a shuffle. Null keys match nothing.
+    """
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).count()
+    total = left.count()
+    hot = [r[0] for r in counts.where(F.col("count") * share >= total).select(key).collect()]
+    if not hot:
+        return left.join(right, key, "left")
+    is_hot = F.col(key).isin(hot) | F.col(key).isNull()
+    few = left.where(is_hot).join(F.broadcast(right.where(F.col(key).isin(hot))), key, "left")
+    return few.unionByName(left.where(~is_hot).join(right, key, "left"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .chat import op8_chat_format
+from .decontamination import op1_string_tiling
+from .language import op3_language_fusion
 from .media import op7_mpeg_audio
 from .packing import op6_genetic_packing
 from .secrets import op9_entropy_secrets
@@ -10,6 +12,8 @@ from .sharding import op10_best_fit_shards
 from .tokenfile import op5_huffman_ids
 
 QUERIES = {
+    "op1_string_tiling": op1_string_tiling,
+    "op3_language_fusion": op3_language_fusion,
     "op5_huffman_ids": op5_huffman_ids,
     "op6_genetic_packing": op6_genetic_packing,
     "op7_mpeg_audio": op7_mpeg_audio,
