@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op8_chat_format
 from .decontamination import op1_string_tiling
 from .language import op3_language_fusion
+from .linededup import op2_cuckoo_lines
 from .media import op7_mpeg_audio
 from .packing import op6_genetic_packing
 from .secrets import op9_entropy_secrets
@@ -12,6 +13,7 @@ from .sharding import op10_best_fit_shards
 from .tokenfile import op5_huffman_ids
 
 QUERIES = {
+    "op2_cuckoo_lines": op2_cuckoo_lines,
     "op1_string_tiling": op1_string_tiling,
     "op3_language_fusion": op3_language_fusion,
     "op5_huffman_ids": op5_huffman_ids,
@@ -22,6 +24,15 @@ QUERIES = {
     "op10_best_fit_shards": op10_best_fit_shards,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_cuckoo_lines": """
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+k as (select doc_id, i, line, translate(regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+s as (select key, min(doc_id) as owner from k where length(key) >= 10 group by key having count(distinct doc_id) > 1),
+m as (select k.doc_id, k.i, k.line, s.owner is not null and s.owner <> k.doc_id as gone from k left join s on k.key = s.key)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from m group by doc_id
+""",
     "op8_chat_format": """
 with t as (select conv_id, turn, role, coalesce(text, '') as text from conversations
  union all select * from (values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)),
