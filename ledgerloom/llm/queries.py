@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op8_chat_format
 from .decontamination import op1_string_tiling
+from .jaccard import op4_prefix_join
 from .language import op3_language_fusion
 from .linededup import op2_cuckoo_lines
 from .media import op7_mpeg_audio
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_cuckoo_lines": op2_cuckoo_lines,
     "op1_string_tiling": op1_string_tiling,
     "op3_language_fusion": op3_language_fusion,
+    "op4_prefix_join": op4_prefix_join,
     "op5_huffman_ids": op5_huffman_ids,
     "op6_genetic_packing": op6_genetic_packing,
     "op7_mpeg_audio": op7_mpeg_audio,
