@@ -76,3 +76,12 @@ def join_hot_apart(left: DataFrame, right: DataFrame, key: str, share: int = 100
     is_hot = F.col(key).isin(hot) | F.col(key).isNull()
     few = left.where(is_hot).join(F.broadcast(right.where(F.col(key).isin(hot))), key, "left")
     return few.unionByName(left.where(~is_hot).join(right, key, "left"))
+
+
+def without_keys(table: DataFrame, keys: DataFrame, key: str, few: int = 500_000) -> DataFrame:
+    """Rows of ``table`` whose key isn't in ``keys``; null keys stay.
+
+    The keys go to all tasks if they are counted to be ``few`` at most; else both sides are shuffled.
+    """
+    keys = keys.select(key).distinct()
+    return table.join(F.broadcast(keys) if keys.count() <= few else keys, key, "left_anti").select(table.columns)

@@ -126,7 +126,7 @@ def identify(spark: SparkSession, table: DataFrame, id_col: str = "doc_id", text
     common = [r[0] for r in counts.where(F.col("count") * 1000 >= total).collect()]  # 1000 at most
     names, model = fit(chosen.where(F.col("label").isin(common))) if common else (["und"], np.zeros((CELLS, 1), np.float32))
     n = len(names)
-    scored = source.drop("label").mapInArrow(_likelihoods(model), "row_id long, declared string, host string, trigrams long, ll array<double>")
+    scored = source.drop("label").mapInArrow(_likelihoods(model), f"row_id {source.schema['row_id'].dataType.simpleString()}, declared string, host string, trigrams long, ll array<double>")
     known = F.when(F.col("declared").isin(common) | (F.col("declared") == ""), F.col("declared")).otherwise(F.regexp_extract("declared", r"^([a-z]{2,3})[-_]", 1))
     scored = scored.withColumn("declared", F.when(known.isin(*common, ""), known).otherwise("?") if common else F.lit(""))
     scored = ws.table("scored", scored.withColumn("guess", _best("ll")))
