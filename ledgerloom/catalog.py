@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import analytics  # noqa: F401  registers its queries
+from .operators import analytics, scalars  # noqa: F401  they register their queries
 from .plans.registry import ORACLES, QUERIES
 
 
