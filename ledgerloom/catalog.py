@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import analytics, audit, matching, scalars  # noqa: F401  they register their queries
+from .operators import analytics, audit, extraction, lifecycle, matching, scalars  # noqa: F401  they register their queries
 from .plans.registry import ORACLES, QUERIES
 
 
