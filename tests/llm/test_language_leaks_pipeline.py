@@ -95,8 +95,8 @@ def test_languages_held_out(spark, sf_dir):
 def test_languages_use_all_evidence(spark):
     rows = []
     for i in range(40):
-        rows.append((i, "der die und nicht ist auf mit sich ein haus", "de", f"https://www{i % 2}.kurz.de/x"))
-        rows.append((100 + i, "the and that with this from house they have", "en", f"http://a{i % 2}.brief.co.uk/y?q=1"))
+        rows.append((i, "der die und nicht ist auf mit sich ein haus in", "de", f"https://www{i % 2}.kurz.de/x"))
+        rows.append((100 + i, "the and that with this from house they have in", "en", f"http://a{i % 2}.brief.co.uk/y?q=1"))
     rows += [(900, "in", "", "https://neu.kurz.de/"), (901, "in", "", "http://new.brief.co.uk"), (902, "in", "de", ""), (903, "12 34 !!", "de", "x"), (904, "漢字仮名交じり文の文章を長く書き続ける", None, None), (905, None, "en", None)]
     told = {r["row_id"]: r for r in language.identify(spark, spark.createDataFrame(rows, "row long, text string, lang string, url string"), "row", host_col="url").collect()}
     assert all(told[i]["language"] == "de" and told[100 + i]["language"] == "en" for i in range(40))
