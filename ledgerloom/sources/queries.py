@@ -26,7 +26,7 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOOK = [xlsx.TEMPLATE, ["Arroz & feijão", "Tio", "Mercearia", "5 kg", "un", "2", "Alvorada", "7891"], ["", "", ""], ["Sabonete", "", "Higiene", "", "un", "1,5", "", "2707"]]
 
 
-@query("xlsx_list_rows", "select 'a.xlsx' as path, 1 as row, 'Arroz & feijão' as name, 'Tio' as brand, 'Mercearia' as category, '2' as quantity, '7891' as code union all select 'a.xlsx', 2, 'Sabonete', '', 'Higiene', '1,5', '2707'")
+@query("xlsx_list_rows", "select 'a.xlsx' as path, 1::bigint as row, 'Arroz & feijão' as name, 'Tio' as brand, 'Mercearia' as category, '2' as quantity, '7891' as code union all select 'a.xlsx', 2::bigint, 'Sabonete', '', 'Higiene', '1,5', '2707'")
 def xlsx_list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A workbook made by the writer, read by the reader; a file that is none gives no rows."""
     files = spark.createDataFrame([("a.xlsx", bytearray(xlsx.write_rows(BOOK))), ("b.txt", bytearray(b"no workbook"))], "path string, content binary")
