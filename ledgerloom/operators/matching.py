@@ -278,7 +278,7 @@ def merge_vision(local: DataFrame, vision: DataFrame) -> DataFrame:
     """Each vision row takes the best unused local row of .55 or more; local rows left over follow, to be reviewed."""
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = lambda p: p.sort_values("seq").astype(object).where(p.notna(), None).to_dict("records")
+        rows = lambda p: [] if p.empty else p.sort_values("seq").astype(object).where(p.notna(), None).to_dict("records")
         left, out, used = rows(a), [], set()
         for v in rows(b):
             best, sim = None, -1.0
