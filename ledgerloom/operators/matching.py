@@ -301,8 +301,8 @@ def merge_vision(local: DataFrame, vision: DataFrame) -> DataFrame:
 
 @query("vision_local_merge")
 def vision_local_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = SEEN.df(spark)
-    return merge_vision(rows.where("source = 'p4'"), rows.where("source = 'p6'"))
+    # two frames: both sides of a cogroup must not share their attributes
+    return merge_vision(SEEN.df(spark).where("source = 'p4'"), SEEN.df(spark).where("source = 'p6'"))
 
 
 KNOWN = Fixture("market_id string, name string", [("k1", "Supermercado Alvorada"), ("k2", "Padaria Central"), ("k3", "Mercado Bom Preço"), ("k4", "")])
