@@ -105,6 +105,21 @@ def test_languages_use_all_evidence(spark):
     assert [told[i]["accepted"] for i in (900, 901, 902, 903, 904, 905)] == [True, True, True, False, False, False]
 
 
+def test_rare_languages_are_learnt(spark):
+    rng = random.Random(5)
+    speech = {"en": "the and that with this from house they have river", "xx": "zuqo wexi qazu voxi juwe kezu"}
+    rows = [(i, " ".join(rng.choices(speech["en"].split(), k=12)), "en", "a.b") for i in range(6000)]
+    rows += [(6000 + i, " ".join(rng.choices(speech["xx"].split(), k=12)), "xx" if i < 3 else "", "c.d") for i in range(5)]
+    # the frequent label is sampled, the rare one (1/2000) isn't; one block of languages, and blocks of one
+    for block in (64, 1):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+        told = {r["row_id"]: r for r in language.identify(spark, docs, sample=50, block=block).collect()}
+        assert len(told) == len(rows)
+        assert all(told[6000 + i]["language"] == "xx" and told[6000 + i]["accepted"] for i in range(5))
+        assert {told[6000 + i]["declared"] for i in range(5)} == {"xx", ""}
+        assert all(told[i]["language"] == "en" for i in range(6000))
+
+
 def test_languages_of_odd_rows(spark, tmp_path):
     rows = language.op3_language_fusion(spark, saved(odd_documents(spark), tmp_path)).collect()
     assert len(rows) == len(ODD) and not any(r["accepted"] for r in rows if r["doc_id"] in (0, 1, 6))
