@@ -45,6 +45,15 @@ def test_product_matches(spark):
     assert x["m8"]["status"] == x["m9"]["status"] == "NEW"
 
 
+def test_key_lookup_takes_all_lines(spark, sf_dir):
+    codes = {r[0] for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey").distinct().collect()}
+    assert {r["code"] for r in matching.or_key_lookup_all(spark, sf_dir).collect()} == codes
+    wanted = spark.createDataFrame([(1, "b"), (8, "b"), (8, "a"), (9, None), (None, "b")], "code long, name string")
+    products = spark.createDataFrame([(1, "a"), (3, "b"), (2, "b")], "product_id long, name string")
+    got = {tuple(r) for r in matching.key_lookup(wanted, products).collect()}
+    assert got == {(1, 1, 1), (8, 1, 2), (None, 2, 2)}
+
+
 def test_identifiers_and_numbers(spark):
     key = "35160917833301002223650010003839831012345676"
     one = spark.range(1).select(
