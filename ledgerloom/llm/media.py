@@ -5,7 +5,7 @@ MPEG-2 layer III frame (mono, 16 kHz, 144 kbit/s, CRC-protected) whose granule i
 576 samples stand for the 576 bytes. An ID3v2 tag holds the unpadded length; a first frame holds a
 variable-bitrate table (frame count, byte count, 100 seek points).
 
-``read_stream`` takes any bytes: it skips and parses ID3v2 and ID3v1 tags, finds frame headers again
+``read_stream`` takes any bytes: it skips and parses ID3v2 tags, and ID3v1 tags that aren't within a frame, finds frame headers again
 after damage (a header counts only if the next frame's header, or the end, follows where it says),
 reads Xing/Info and VBRI tables, checks the CRC-16 of protected layer III frames, and gives exact
 durations as samples and rate, and the byte offset of each audio frame.
@@ -164,12 +164,15 @@ def _table(data: bytes, at: int, head: Header) -> tuple[str, int, int, bytes] |
 def read_stream(data: bytes) -> dict:
     """Length, payload, frames and figures of a stream; see the module's text."""
     at, length = _skip_tag(data, 0)
-    end = len(data) - 128 if len(data) >= 128 and data[-128:-125] == b"TAG" else len(data)
+    tag = len(data) - 128 if len(data) >= 128 and data[-128:-125] == b"TAG" else len(data)
+    end = tag
     offsets, units, table, resyncs, bad, checked, samples, rate, first, lost = [], [], None, 0, 0, 0, 0, 0, True, False
     sums: dict[bytes, int] = {}
     while at + 4 <= end:
         head = parse_header(data[at : at + 4])
         after = at + head.size if head else 0
+        if at < tag < after and (after == len(data) or parse_header(data[after : after + 4])):
+            end = len(data)  # the frames go on past these bytes, so they are no tag
         if not head or after > end or (lost or first) and after + 4 <= end and not parse_header(data[after : after + 4]):
             lost = True
             if data[at : at + 3] == b"ID3":

@@ -49,6 +49,17 @@ def test_media_resynchronises_and_checks():
     assert media.crc16(b"123456789") == 0xAEE7
 
 
+def test_media_keeps_payload_that_reads_as_a_tag():
+    data = (b"x" * 505 + b"TAG").ljust(576, b"y")
+    for start in (b"", b"z" * 1152):
+        stream = media.write_stream(start + data)
+        found = media.read_stream(stream)
+        assert stream[-128:-125] == b"TAG" and found["payload"] == start + data
+        assert media.read_stream(stream + b"TAG" + bytes(125))["payload"] == start + data
+        # a tag after a frame that was cut
+        assert media.read_stream(stream[:-50] + b"TAG" + bytes(125))["payload"] == start
+
+
 def test_media_reads_other_streams():
     head = bytes([0xFF, 0xFB, 0x90, 0x64])  # MPEG-1 layer III, 128 kbit/s, 44.1 kHz
     frame = media.parse_header(head)
