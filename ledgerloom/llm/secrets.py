@@ -7,8 +7,8 @@ matches that fail a rule's length are dropped after they have consumed their tex
 each character class (hex digits, digits and lower case, base64) that covers the window, Shannon
 entropy is compared with the class's threshold. Overlapping hot windows join to one span. A
 span is suppressed if it overlaps a rule's span (already reported) or its candidate is on the
-allow list: UUIDs, the same character or short block repeated, plain words joined by - _ / =, or runs
-in alphabetical order.
+allow list: UUIDs, the same character or short block repeated, plain words of fewer than
+``WINDOW`` letters joined by + - _ / =, or runs in alphabetical order.
 
 Null texts count as empty; every row gives one row, without spans if there are none. Offsets are
 code points, ends exclusive.
@@ -35,11 +35,12 @@ WINDOW = 20
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
 #: Bits a character that a window of WINDOW characters must have, by class.
 CLASSES = (("hex", frozenset("0123456789abcdefABCDEF"), 3.0), ("lower", frozenset("0123456789abcdefghijklmnopqrstuvwxyz"), 3.7), ("base64", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"), 3.9))
+#: Letters that fill a window are no plain word: their entropy is looked at.
+WORD = r"(?=[A-Za-z]{1,%d}(?![A-Za-z])|[0-9])([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})" % (WINDOW - 1)
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(r"(.{1,6}?)\1+"),
-    re.compile(r"[+/_=-]*([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})([+/_=-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[+/_=-]*"),
-    re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)"),
+    re.compile(r"[+/_=-]*%s([+/_=-]+%s)*[+/_=-]*" % (WORD, WORD)),
 )
 ORDER = "0123456789abcdefghijklmnopqrstuvwxyz0123456789"
 #: n * log2(n) for the counts of a window.

@@ -113,6 +113,14 @@ def test_entropy_windows_match_recount():
     assert [s[2] for s in found] == ["entropy"]
 
 
+def test_long_single_case_strings_are_measured():
+    lower, upper = "qzmxwnckvjtbrhygpdlfoauesiqzmxwn", "QZMXWNCKVJTBRHYGPDLFOAUESIQZMXWNCKVJTBRH"
+    for token in (lower, upper, f"key_{lower}", f"{upper}/x"):
+        assert [s[2] for s in secrets.scan(f"see {token} here")[1]] == ["entropy"], token
+    for plain in ("some_long_snake_case_name", "SOME-LONG-UPPER-CASE-NAME", "abcdefghijklmnopqrstuvwxyz", "Verantwortungsbewusstsein"):
+        assert secrets.scan(f"see {plain} here")[1] == [], plain
+
+
 def test_sharding_laws(spark, sf_dir, tmp_path):
     rows = sharding.op10_best_fit_shards(spark, sf_dir).collect()
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
