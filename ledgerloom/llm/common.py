@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,11 +52,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def rows(batches: Iterator[pa.RecordBatch], step: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``step`` rows, so Python objects of one batch stay bounded."""
+def rows(batches: Iterator[pa.RecordBatch], step: int = 512, by: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``step`` rows, and of ``most`` bytes in column ``by`` or one row, so what one batch needs stays bounded."""
     for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
+        at, ends = 0, None
+        if by in batch.schema.names:
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(by)), 0)), dtype=np.int64)
+        while at < batch.num_rows:
+            to = at + step
+            if ends is not None:
+                held = ends[at - 1] if at else 0
+                to = min(to, max(at + 1, int(np.searchsorted(ends, held + most, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def texts(column: pa.Array) -> list[str]:

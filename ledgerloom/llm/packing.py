@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, rows, texts
-from .tokens import encoder, word_vocabulary
+from .common import Workspace, rows
+from .tokens import encoder, with_end, word_vocabulary
 
 CAPACITY, CELL, ISLANDS, POPULATION, GENERATIONS, EPOCHS, WORST, FAN = 4096, 2048, 2, 6, 24, 2, 4, 64
 
@@ -219,11 +219,13 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
     names = ["uid", "doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end, uid = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 36
+        ids_of, uid = encoder(tokenizer), TaskContext.get().partitionId() << 36
         for batch in rows(batches):
             out = []
-            for name, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
-                ids = ids_of.encode(text) + end
+            every, cuts = with_end(*ids_of.encode(batch.column("text")), end_id)
+            data, cuts = every.astype("<u4").tobytes(), (4 * cuts).tolist()
+            for name, a, b in zip(batch.column("doc_id").to_pylist(), cuts, cuts[1:], strict=False):
+                ids = data[a:b]
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     out.append((uid, name, piece, at // 4, len(own) // 4, zlib.crc32(own), own))

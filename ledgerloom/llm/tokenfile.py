@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions, rows, texts
-from .tokens import encoder, word_vocabulary
+from .common import Workspace, partitions, rows
+from .tokens import encoder, id_type, with_end, word_vocabulary
 
 LIMIT, BLOCK, EVERY = 18, 1 << 16, 512
 END_ID = 1
@@ -113,19 +113,15 @@ def decode_blocks(payloads: list[bytes], checks: list[np.ndarray], counts: list[
     return [out[:, a:b].T.reshape(-1)[:n] if n > steps else out[:n, a:b].T.reshape(-1)[:n] for a, b, n in zip(lanes, lanes[1:], counts, strict=False)]
 
 
-def _dtype(vocabulary: int) -> str:
-    return "<u2" if vocabulary <= 1 << 16 else "<u4"
-
-
-def token_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, dtype: str = "<u2") -> DataFrame:
-    """doc_id, and the ids of the whole text with the end id as bytes of ``dtype``."""
+def token_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+    """doc_id, and the ids of the whole text with the end id as bytes of the vocabulary's ``id_type``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in rows(batches):
-            ids = [np.frombuffer(ids_of.encode(t) + end, "<u4").astype(dtype).tobytes() for t in texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids, cuts = with_end(*ids_of.encode(batch.column("text")), end_id)
+            places = pa.py_buffer((cuts * ids.dtype.itemsize).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, places, pa.py_buffer(ids.tobytes())])], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -135,7 +131,7 @@ def id_counts(tokens: DataFrame, vocabulary: int, dtype: str = "<u2") -> np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
-        for batch in rows(batches):
+        for batch in rows(batches, by="ids"):
             total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype), minlength=vocabulary)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
@@ -170,7 +166,7 @@ def write_ids(ws: Workspace, tokens: DataFrame, vocabulary: int, dtype: str = "<
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
 
         held = 0
-        for batch in rows(batches):
+        for batch in rows(batches, by="ids"):
             for name, doc in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 size = len(doc) // np.dtype(dtype).itemsize
                 if ids and held + size > BLOCK:
@@ -225,8 +221,8 @@ def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, ws = word_vocabulary(), Workspace(spark, "token-ids")
     vocabulary = Tokenizer.from_file(path).get_vocab_size()
-    dtype = _dtype(vocabulary)
-    tokens = ws.table("tokens", token_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, dtype=dtype))
+    dtype = id_type(vocabulary)
+    tokens = ws.table("tokens", token_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), path))
     blocks, code = write_ids(ws, tokens, vocabulary, dtype)
     ws.drop("tokens")
     return read_ids(blocks, code)

@@ -1,11 +1,14 @@
+import random
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from ledgerloom.llm import packing, tokenfile
+from ledgerloom.llm.common import rows
 from ledgerloom.llm.tokens import ChunkIds, word_vocabulary
 
 from .helpers import ODD, odd_documents, saved
@@ -17,11 +20,46 @@ def plain():
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
 
 
-def test_chunks_give_the_librarys_ids(spark, sf_dir, plain):
+STRANGE = ["á ́b", "İ ſ K ﬁ", "don't I'LL 've", "<|endoftext|>x <|startoftext|>", "\x1c\x85 tab\tx", "한글 각", "1234 ½ ²", "  ", "a" * 5000, None, "", "Ä×Ö÷ß É", "a<b>c", "É" * 8, "É" * 9, "!" * 17, "ÀÁ...--##", "zzxqjkwvzzxqjkwv " * 3]
+
+
+def check_encoder(ids_of, texts, plain):
+    for at in range(0, len(texts), 300):
+        part = texts[at : at + 300]
+        ids, cuts = ids_of.encode(pa.array(part, pa.string()))
+        for text, a, b in zip(part, cuts, cuts[1:], strict=False):
+            assert [*ids[a:b].tolist(), 1] == plain(text), text
+
+
+@pytest.mark.parametrize("sets", [2, 1 << 16])
+def test_runs_give_the_librarys_ids(spark, sf_dir, plain, sets):
+    ids_of = ChunkIds(word_vocabulary(), sets)
+    assert ids_of.plain
+    rng = random.Random(4)
+    letters = "ab cdEFÉéßÿ×÷'<|>.,-_!1\n\t\u6f22\u0301"
+    made = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    check_encoder(ids_of, STRANGE + made + [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()][:150], plain)
+    ids_of.plain = False
+    check_encoder(ids_of, STRANGE, plain)
+
+
+def test_a_worker_remembers_in_a_fixed_space():
     ids_of = ChunkIds(word_vocabulary())
-    strange = ["á ́b", "İ ſ K ﬁ", "don't I'LL 've", "<|endoftext|>x <|startoftext|>", "\x1c\x85 tab\tx", "한글 각", "1234 ½ ²", "  ", "a" * 5000]
-    for text in strange + [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]:
-        assert [*np.frombuffer(ids_of.encode(text), "<u4"), 1] == plain(text)
+    before = ids_of.memory.nbytes
+    assert before <= 16 << 20
+    marks = ["word" + "!?" * 5000 + str(i) for i in range(20)]
+    for at in range(5):
+        ids_of.encode(pa.array(marks + [f"w{chr(97 + at)}" + "".join(chr(97 + int(c)) for c in str(i)) for i in range(20000)], pa.string()))
+    assert ids_of.memory.nbytes == before
+    held = [x for x in vars(ids_of).values() if isinstance(x, (dict, list))]
+    assert held == []
+
+
+def test_batches_are_bounded_by_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["x" * 10, None, "y" * 500, "z" * 90, "z" * 10, ""], pa.string())], ["i", "text"])
+    parts = list(rows([batch, batch.slice(0, 0)], 4, most=100))
+    assert [p.column("i").to_pylist() for p in parts] == [[0, 1], [2], [3, 4, 5]]
+    assert [p.num_rows for p in rows([batch.select(["i"])], 4)] == [4, 2]
 
 
 def crc(ids):
