@@ -37,8 +37,10 @@ def unescaped(text: Column) -> Column:
 def format_conversations(rows: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """conv_id, formatted and loss_mask of each conversation in rows of conv_id, turn, role, text."""
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    turns = rows.select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), escaped(blank("role")).alias("role"), escaped(blank("text")).alias("text")).alias("t"))
-    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    turns = rows.select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), blank("role").alias("role"), blank("text").alias("text")).alias("t"))
+    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    # sorted as they are, then escaped
+    grouped = grouped.select("conv_id", F.transform("t", lambda t: F.struct(escaped(t["role"]).alias("role"), escaped(t["text"]).alias("text"))).alias("turns"))
     # Where a run of turns of one role starts, counted from 1; then each run as role and texts.
     starts = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (i == 1) | (F.element_at("turns", i)["role"] != F.element_at("turns", F.greatest(i - 1, F.lit(1)))["role"]))
     runs = F.transform("starts", lambda s, k: F.struct(F.element_at("turns", s)["role"].alias("role"), F.slice("turns", s, F.coalesce(F.get("starts", k + 1), F.size("turns") + 1) - s)["text"].alias("texts")))
