@@ -8,7 +8,9 @@ variable-bitrate table (frame count, byte count, 100 seek points).
 ``read_stream`` takes any bytes: it skips and parses ID3v2 tags, and ID3v1 tags that aren't within a frame, finds frame headers again
 after damage (a header counts only if the next frame's header, or the end, follows where it says),
 reads Xing/Info and VBRI tables, checks the CRC-16 of protected layer III frames, and gives exact
-durations as samples and rate, and the byte offset of each audio frame.
+durations as samples and rate, and the byte offset of each audio frame. Tables and tags that are cut off give what
+they still hold. An ID3v1 tag counts where no frame goes through it. As a frame has 576 samples and holds 576
+bytes, a stream's duration follows from the length of its text; the query's feature names that store.
 
 Null and empty texts are one unit of padding. Every row gives one row; equal texts give equal bytes.
 Bytes without any frame give zero frames and duration 0.
@@ -143,21 +145,21 @@ def _skip_tag(data: bytes, at: int) -> tuple[int, int | None]:
     return min(end + (10 if data[at + 5] & 16 else 0), len(data)), length
 
 
-def _table(data: bytes, at: int, head: Header) -> tuple[str, int, int, bytes] | None:
-    """Kind, frames, bytes and seek points of a variable-bitrate table in the frame at ``at``."""
-    pos = at + 4 + 2 * head.protected + head.side
-    kind = data[pos : pos + 4]
+def _table(frame: bytes, head: Header) -> tuple[str, int, int, bytes] | None:
+    """Kind, frames, bytes and seek points of a variable-bitrate table in a frame; -1 for figures that it lacks or that are cut off."""
+    pos = 4 + 2 * head.protected + head.side
+    number = lambda at: int.from_bytes(frame[at : at + 4], "big") if at + 4 <= len(frame) else -1
+    kind = frame[pos : pos + 4]
     if kind in (b"Xing", b"Info"):
-        flags, pos = struct.unpack_from(">I", data, pos + 4)[0], pos + 8
+        flags, pos = max(0, number(pos + 4)), pos + 8
         frames = size = -1
         if flags & 1:
-            frames, pos = struct.unpack_from(">I", data, pos)[0], pos + 4
+            frames, pos = number(pos), pos + 4
         if flags & 2:
-            size, pos = struct.unpack_from(">I", data, pos)[0], pos + 4
-        return kind.decode(), frames, size, data[pos : pos + 100] if flags & 4 else b""
-    if data[at + 36 : at + 40] == b"VBRI":
-        _, _, _, size, frames = struct.unpack_from(">HHHII", data, at + 40)
-        return "VBRI", frames, size, b""
+            size, pos = number(pos), pos + 4
+        return kind.decode(), frames, size, frame[pos : pos + 100] if flags & 4 else b""
+    if frame[36:40] == b"VBRI":
+        return "VBRI", number(50), number(46), b""
     return None
 
 
@@ -183,7 +185,7 @@ def read_stream(data: bytes) -> dict:
                 break
             continue
         resyncs, lost = resyncs + lost, False
-        found = _table(data, at, head) if first and head.layer == 3 else None
+        found = _table(data[at:after], head) if first and head.layer == 3 else None
         first, rate = False, head.rate
         if head.protected and head.layer == 3:
             covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + head.side]
@@ -218,7 +220,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = read_stream(media)
             payload, table = x["payload"], x["table"] or ("none", -1, -1, b"")
             mean = sum(payload) * 1000 // max(1, len(payload))
-            feature = f"frames={len(x['offsets'])};ms={x['samples'] * 1000 // max(1, x['rate'])};rate={x['rate']};table={table[0]}:{table[1]};crc={x['checked'] - x['bad']}/{x['checked']};resyncs={x['resyncs']};mean={mean}"
+            feature = f"store=ancillary:{UNIT};frames={len(x['offsets'])};ms={x['samples'] * 1000 // max(1, x['rate'])};rate={x['rate']};table={table[0]}:{table[1]};crc={x['checked'] - x['bad']}/{x['checked']};resyncs={x['resyncs']};mean={mean}"
             out.append((x["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, x["samples"], x["rate"], x["offsets"]))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
         names = [c.split()[0] for c in COLUMNS.split(", ")]
@@ -228,7 +230,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def audio_columns(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes each text as an MPEG audio stream to a table, reads that back and gives its figures."""
     ws = Workspace(spark, "media")
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     stored = ws.table("streams", source.mapInArrow(_encode, "doc_id long, media binary"))
     return stored.mapInArrow(_features, COLUMNS)
 
