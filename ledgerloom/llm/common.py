@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_ROOT: list[str] = []
@@ -18,11 +18,15 @@ _LOCAL_ROOT: list[str] = []
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none (tests on one machine), a temporary folder is made once.
+    Where a session on one machine (tests) names none, a temporary folder is made once; on a cluster that is an
+    error, as executors would write to disks of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise RuntimeError(f"spark.checkpoint.dir isn't set: executors of {master} share no folder with the driver")
     if not _LOCAL_ROOT:
         _LOCAL_ROOT.append("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
     return _LOCAL_ROOT[0]
@@ -67,6 +71,30 @@ def rows(batches: Iterator[pa.RecordBatch], step: int = 512, by: str = "text", m
             at = to
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that none of the columns has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(ws: Workspace, df: DataFrame, key: str, order: list[str], table: str, name: str) -> DataFrame:
+    """``df`` with numbers from 0 within each key (never null), in order; no task gets more of a key than of others.
+
+    Rows are dealt by ranges of (key, order) and numbered within their range; each range's first number
+    is the sum of the key's counts in the ranges before. Equal rows are numbered in any order.
+    """
+    task, before, local = (fresh(c, df.columns) for c in ("task", "before", "local"))
+    dealt = ws.table(table, df.repartitionByRange(partitions(ws.spark), key, *order).withColumn(task, F.spark_partition_id()))
+    counts = dealt.groupBy(key, task).agg(F.count("*").alias(before))  # a row for each key and range that have rows: keys + ranges at most
+    earlier = Window.partitionBy(key).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0)))
+    counts = ws.table(f"{table}-counts", counts)
+    here = dealt.withColumn(local, F.row_number().over(Window.partitionBy(key, task).orderBy(*order)))
+    return here.join(counts, [key, task]).withColumn(name, (F.col(before) + F.col(local) - 1).cast("long")).select(*df.columns, name)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings of a text column; null becomes the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -1,26 +1,28 @@
 """Sharding of indivisible groups by best-fit-decreasing bin packing.
 
-Groups (rows of equal text) are never split. Groups of at least 1/64 of a shard are packing units
-of their own; all smaller groups fall into a fixed number of hash buckets, which are units too. So
-the packer sees at most ``64 * n_shards + buckets`` units, however many rows there are, and every
-group stays whole. Units enter, largest first, the bin with the tightest remaining capacity that
-still holds them, found in an AVL tree over (remaining capacity, bin).
+Groups (rows of equal text) are never split. All groups enter, largest first, the bin with the tightest remaining
+capacity that still holds them, found in an AVL tree over (remaining capacity, bin). Groups of equal
+size are interchangeable, and the tightest bin stays the tightest until it is full for that size, so the packer takes
+one (size, count) for each distinct size: of groups of ``t`` bytes in all, these are at most the square root of ``2 t``. Its
+answer are runs: so many groups of this size go into that shard. Groups are numbered within their size by
+shuffles, and take the shard of the run that holds their number. The shards' capacity starts at the least that
+any packing needs and grows until the groups fit into ``n_shards`` bins; bisection then looks for a smaller one.
 
 Null and empty texts are one group of text size 0. A group larger than a mean shard gets a shard
-that is larger than the others, as groups are indivisible. Ties go by unit name, rows of a shard are
-numbered by (group, id, row order within the table written). An empty table gives an empty result.
+that is larger than the others. Ties go by the text's digest, rows of a shard are
+numbered by (group, id), equal rows in any order. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions
+from .common import Workspace, join_hot_apart, numbered
+
+#: Runs that are broadcast at most.
+FEW_RUNS = 200_000
 
 
 class _Node:
@@ -117,81 +119,75 @@ class CapacityTree:
         return best
 
 
-def best_fit_decreasing(units: list[tuple[int, str]], capacity: int) -> list[int]:
-    """The bin of each (size, name), given largest first; a unit over capacity gets a bin alone."""
+def best_fit_decreasing(units: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[tuple[int, int, int, int]] | None:
+    """Runs (size, first number, bin, groups) of (size, count), given largest first; None beyond ``most`` bins.
+
+    A group over capacity gets a bin alone.
+    """
     tree, bins, out = CapacityTree(), 0, []
-    for size, _ in units:
-        found = tree.tightest(size)
-        if found is None:
-            found = (max(capacity, size), bins)
-            bins += 1
-        else:
-            tree.remove(found)
-        out.append(found[1])
-        if found[0] - size > 0:
-            tree.add((found[0] - size, found[1]))
+    for size, count in units:
+        at = 0
+        while at < count:
+            found = tree.tightest(size)
+            if found is None:
+                if bins == most:
+                    return None
+                found = (max(capacity, size), bins)
+                bins += 1
+            else:
+                tree.remove(found)
+            take = min(count - at, found[0] // size) if size else count - at
+            out.append((size, at, found[1], take))
+            at += take
+            tree.add((found[0] - take * size, found[1]))
     return out
 
 
-def least_capacity(units: list[tuple[int, str]], n_shards: int) -> tuple[int, list[int]]:
-    """The smallest capacity, by bisection, with which the units fit into ``n_shards`` bins."""
-    if not units:
-        return 0, []
-    total, largest = sum(s for s, _ in units), units[0][0]
-    low, high = max(1, -(-total // n_shards)), 2 * -(-total // n_shards) + largest
-    if largest > low:  # a unit over capacity has a bin alone: the others decide
-        low = 1
-    best = best_fit_decreasing(units, high)
+def least_capacity(units: list[tuple[int, int]], n_shards: int) -> int:
+    """What the largest shard holds at least: groups larger than the mean of the rest are alone."""
+    rest, bins = sum(s * c for s, c in units), n_shards
+    for size, count in units:
+        for _ in range(count):
+            if bins == 1 or size * bins <= rest:
+                return -(-rest // bins)
+            rest, bins = rest - size, bins - 1
+    return 0
+
+
+def pack_shards(units: list[tuple[int, int]], n_shards: int) -> list[tuple[int, int, int, int]]:
+    """The runs of a packing into ``n_shards`` bins of nearly the least capacity."""
+    low = least_capacity(units, n_shards)
+    step, high, best = 1, low, best_fit_decreasing(units, low, n_shards)
+    while best is None:
+        low, high, step = high + 1, high + step, 2 * step
+        best = best_fit_decreasing(units, high, n_shards)
     while low < high:
         mid = (low + high) // 2
-        packed = best_fit_decreasing(units, mid)
-        if max(packed) < n_shards:
-            high, best = mid, packed
-        else:
+        found = best_fit_decreasing(units, mid, n_shards)
+        if found is None:
             low = mid + 1
-    return high, best
-
-
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the task and the running number of a row in its shard within the task."""
-    task, seen = TaskContext.get().partitionId(), {}
-    for batch in batches:
-        local = []
-        for shard in batch.column("shard").to_pylist():
-            seen[shard] = n = seen.get(shard, -1) + 1
-            local.append(n)
-        columns = [*batch.columns, pa.array([task] * batch.num_rows, pa.int32()), pa.array(local, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "task", "local"])
+        else:
+            high, best = mid, found
+    return best
 
 
-def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 40, buckets: int = 8192, id_col: str = "doc_id", text_col: str = "text", row_cost: int = 16) -> DataFrame:
+def shard_documents(spark: SparkSession, docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", row_cost: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row of ``docs``."""
     ws = Workspace(spark, "sharding")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = ws.table("rows", docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + row_cost).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("grp")).withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(buckets)).cast("int")))
-    groups = base.groupBy("grp", "bucket").agg(F.sum("size").alias("size"))
-    groups = ws.table("groups", groups)
-    total = groups.agg(F.sum("size")).first()[0] or 0
-    large = F.col("size") * 64 * n_shards >= F.lit(total)
-    alone = [(r["size"], r["grp"].hex()) for r in groups.where(large).collect()]  # at most 64 * n_shards rows
-    rest = groups.where(~large).groupBy("bucket").agg(F.sum("size").alias("size")).collect()  # at most `buckets` rows
-    units = sorted(alone + [(r["size"], f"b{r['bucket']}") for r in rest], key=lambda u: (-u[0], u[1]))
-    _, packed = least_capacity(units, n_shards)
-    placed = [(u[1], s) for u, s in zip(units, packed, strict=True)]
-    by_grp = spark.createDataFrame([(bytearray.fromhex(u), s) for u, s in placed if not u.startswith("b") or len(u) == 32], "grp binary, own int") if alone else spark.createDataFrame([], "grp binary, own int")
-    by_bucket = spark.createDataFrame([(int(u[1:]), s) for u, s in placed if u.startswith("b") and len(u) < 32], "bucket int, common int")
-    # both sides are bounded by the unit count above, whatever the input
-    shards = base.join(F.broadcast(by_grp), "grp", "left").join(F.broadcast(by_bucket), "bucket", "left")
-    shards = shards.select("doc_id", "size", "text_crc32", "grp", F.coalesce("own", "common").alias("shard"))
-    ordered = shards.repartitionByRange(partitions(spark), "shard", "grp", "doc_id").sortWithinPartitions("shard", "grp", "doc_id").drop("grp")
-    numbered = ws.table("numbered", ordered.mapInArrow(_numbered, "doc_id long, size long, text_crc32 long, shard int, task int, local long"))
-    counts = sorted((r["shard"], r["task"], r["n"]) for r in numbered.groupBy("shard", "task").agg(F.count("*").alias("n")).collect())  # tasks + shards rows at most
-    starts, at = [], {}
-    for shard, task, n in counts:
-        starts.append((shard, task, at.get(shard, 0)))
-        at[shard] = at.get(shard, 0) + n
-    offsets = spark.createDataFrame(starts, "shard int, task int, first long")
-    return numbered.join(F.broadcast(offsets), ["shard", "task"]).select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("local")).alias("slot"))
+    base = ws.table("rows", docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + row_cost).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("grp")))
+    groups = ws.table("groups", base.groupBy("grp").agg(F.sum("size").alias("total")))
+    sizes = groups.groupBy("total").count().toArrow()  # one row a distinct size
+    units = sorted(zip(sizes["total"].to_pylist(), sizes["count"].to_pylist(), strict=True), reverse=True)
+    packed = pack_shards(units, n_shards)
+    kinds = (("run_size", pa.int64()), ("first", pa.int64()), ("shard", pa.int32()), ("n", pa.int64()))
+    runs = spark.createDataFrame(pa.table({c: pa.array([r[i] for r in packed], k) for i, (c, k) in enumerate(kinds)}))
+    runs = F.broadcast(runs) if len(packed) <= FEW_RUNS else ws.table("runs", runs)
+    ranked = numbered(ws, groups, "total", ["grp"], "ranked", "rank")
+    inside = (F.col("total") == F.col("run_size")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
+    homes = ws.table("homes", ranked.join(runs, inside).select("grp", "shard"))
+    placed = join_hot_apart(base, homes, "grp")
+    return numbered(ws, placed, "shard", ["grp", "doc_id"], "slots", "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def op10_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

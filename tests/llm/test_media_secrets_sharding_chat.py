@@ -3,7 +3,9 @@ import re
 import zlib
 
 import numpy as np
+
 from ledgerloom.llm import chat, media, secrets, sharding
+from ledgerloom.llm.common import Workspace, numbered
 
 from .helpers import odd_documents, saved
 
@@ -60,6 +62,45 @@ def test_media_keeps_payload_that_reads_as_a_tag():
         assert media.read_stream(stream[:-50] + b"TAG" + bytes(125))["payload"] == start
 
 
+def test_media_keeps_tags_anywhere_in_the_last_unit():
+    for at in range(448, 574):
+        data = (b"x" * at + b"TAG").ljust(576, b"y")
+        stream = media.write_stream(b"z" * 576 + data)
+        assert media.read_stream(stream)["payload"] == b"z" * 576 + data, at
+        assert media.read_stream(stream + b"TAG" + bytes(125))["payload"] == b"z" * 576 + data, at
+
+
+def test_media_reads_any_bytes():
+    rng = np.random.default_rng(3)
+    stream = media.write_stream(b"TAGXing" * 200)
+    whole = media.read_stream(stream)
+    for n in range(len(stream)):
+        found = media.read_stream(stream[:n])
+        assert whole["payload"].startswith(found["payload"])
+        assert len(found["offsets"]) == sum(o + media.FRAME.size <= n for o in whole["offsets"])
+    for n in range(300):
+        data = bytearray(rng.integers(0, 256, n * 7, np.uint8).tobytes())
+        for at in rng.integers(0, max(1, len(data)), 5):
+            data[at : at + 4] = [b"ID3\4", b"\xff\xfb\x10\xc4", b"Xing", b"VBRI", media.HEAD[:4]][int(at) % 5]
+        media.read_stream(bytes(data))
+    # tables that a short last frame cuts off
+    short = bytes([0xFF, 0xF3, 0x14, 0xC4])  # MPEG-2 layer III, 8 kbit/s, 22.05 or 24 kHz
+    size = media.parse_header(short).size
+    for kind, at in ((b"Xing\0\0\0\7", 13), (b"Info\0\0\0\3\0\0", 13), (b"VBRI", 36)):
+        frame = (short + bytes(at - 4) + kind).ljust(size, b"\0")[:size]
+        for n in range(4, size + 1):
+            media.read_stream(frame[:n])
+        assert media.read_stream(frame)["table"] is None or media.read_stream(frame)["table"][1] <= 0
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id int, text string")
+    assert sorted(r["doc_id"] for r in media.audio_columns(spark, docs).collect()) == [1, 2]
+    assert sorted(r["doc_id"] for r in sharding.shard_documents(spark, docs, 3).collect()) == [1, 2]
+    odd = docs.selectExpr("doc_id", "text", "'x' as task", "'y' as shard", "'z' as grp", "'s' as size")
+    assert sorted((r["doc_id"], r["size"]) for r in sharding.shard_documents(spark, odd, 3).collect()) == [(1, 17), (2, 16)]
+
+
 def test_media_reads_other_streams():
     head = bytes([0xFF, 0xFB, 0x90, 0x64])  # MPEG-1 layer III, 128 kbit/s, 44.1 kHz
     frame = media.parse_header(head)
@@ -136,7 +177,10 @@ def test_sharding_laws(spark, sf_dir, tmp_path):
     group = {}
     for t in docs.values():
         group[t] = group.get(t, 0) + len(t.encode()) + 16
-    assert max(sizes.values()) <= max(max(group.values()), 1.1 * sum(sizes.values()) / 40)
+    # no packing has a smaller largest shard than this by more than a few small groups
+    units = sorted(((n, list(group.values()).count(n)) for n in set(group.values())), reverse=True)
+    least = sharding.least_capacity(units, 40)
+    assert max(sizes.values()) <= max(max(group.values()), least + 40)
     odd = sharding.op10_best_fit_shards(spark, saved(odd_documents(spark), tmp_path)).collect()
     assert len(odd) == 10 and len({r["shard"] for r in odd if r["doc_id"] in (3, 4)}) == 1
     assert sharding.op10_best_fit_shards(spark, saved(odd_documents(spark, True), tmp_path)).count() == 0
@@ -158,10 +202,50 @@ def test_tree_finds_the_tightest_bin():
         size = int(rng.integers(220))
         assert tree.tightest(size) == min((k for k in held if k[0] >= size), default=None)
     assert sharding._height(tree.root) <= 1.45 * np.log2(len(held) + 2)
-    units = sorted(((int(x), str(i)) for i, x in enumerate(rng.integers(1, 99, 500))), key=lambda u: -u[0])
-    bins = sharding.best_fit_decreasing(units, 100)
-    loads = np.bincount(bins, [u[0] for u in units])
-    assert loads.max() <= 100 and len(loads) <= sum(u[0] for u in units) / 100 * 1.05 + 1
+
+
+def plain_best_fit(sizes, capacity):
+    """Best-fit decreasing by its definition, one group at a time."""
+    rooms, out = [], []
+    for size in sizes:
+        fits = [(r, k) for k, r in enumerate(rooms) if r >= size]
+        if fits:
+            k = min(fits)[1]
+        else:
+            k = len(rooms)
+            rooms.append(max(capacity, size))
+        rooms[k] -= size
+        out.append((size, k))
+    return out
+
+
+def test_runs_are_best_fit_decreasing():
+    rng = np.random.default_rng(1)
+    for most in (5, 40, 130):
+        sizes = sorted(rng.integers(0 if most < 9 else 1, most, 300).tolist(), reverse=True)
+        units = [(n, sizes.count(n)) for n in sorted(set(sizes), reverse=True)]
+        runs = sharding.best_fit_decreasing(units, 100)
+        assert [(s, b) for s, _, b, n in runs for _ in range(n)] == plain_best_fit(sizes, 100)
+        firsts = {}
+        for s, first, _, n in runs:
+            assert first == firsts.get(s, 0)
+            firsts[s] = first + n
+        assert firsts == dict(units)
+    assert sharding.best_fit_decreasing([(60, 3)], 100, 2) is None
+    assert sharding.least_capacity([(100, 1), (10, 4)], 3) == 20 and sharding.least_capacity([(100, 1)], 3) == 0 and sharding.least_capacity([], 3) == 0
+    packed = sharding.pack_shards([(100, 1), (10, 4)], 3)
+    assert sorted((s, b) for s, _, b, n in packed for _ in range(n)) == [(10, 1), (10, 1), (10, 2), (10, 2), (100, 0)]
+    assert sharding.pack_shards([], 3) == []
+
+
+def test_rows_are_numbered_across_tasks(spark):
+    rows = [(i % 3, i // 6, "x") for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, v int, task string").repartition(5)
+    got = numbered(Workspace(spark, "t"), df, "k", ["v"], "t", "n").collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"k", "v", "task", "n"}
+    for k in (0, 1, 2):
+        own = sorted((r["n"], r["v"]) for r in got if r["k"] == k)
+        assert [n for n, _ in own] == list(range(len(own))) and [v for _, v in own] == sorted(v for _, v in own)
 
 
 ROWS = [
@@ -192,3 +276,11 @@ def test_chat_round_trip(spark, sf_dir, tmp_path):
             said = "</s>[INST] ok [/INST]"
             assert r["n_turns"] == 2 and r["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest() and r["loss_chars"] == 21
     assert [r["conv_id"] for r in chat.op8_chat_format(spark, saved(rows.limit(0), tmp_path, "conversations")).collect()] == [-1]
+
+
+def test_chat_ties_sort_as_they_are(spark):
+    texts = ["[F", "[END]", "[\\END]", "[", "[E", "</s>", "<0", "[ROLE]x"]
+    rows = [(1, 7, "user", t) for t in texts] + [(2, 1, r, "same") for r in ("[F", "[END]", "[A")]
+    got = {r["conv_id"]: r["turns"] for r in chat.read_conversations(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert [t["text"] for t in got[1]] == sorted(texts)
+    assert [t["role"] for t in got[2]] == sorted(("[F", "[END]", "[A"))
