@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, join_hot_apart, rows, texts
+from .common import Workspace, fresh, join_hot_apart, rows, texts
 
 LEAST, SHARDS, SHARD_KEYS, BROADCAST, SLOTS = 10, 64, 250_000, 16 << 20, 4
 SPACE = " \t\n\x0b\x0c\r"
@@ -280,15 +280,17 @@ class LineIndex:
 
     def apply(self, docs: DataFrame, other_columns: bool = False) -> DataFrame:
         """doc_id, n_lines, n_dropped, kept (text) of each row; or the rows with the text replaced."""
-        source = docs.withColumnRenamed(self.id_col, "doc_id").withColumnRenamed(self.text_col, "text") if other_columns else self._named(docs)
-        keys = self.drops().withColumnRenamed("doc_id", "__owner").withColumnRenamed("keys", "__keys")
-        joined = source.join(keys, F.col("doc_id").cast("long") == F.col("__owner"), "left").drop("__owner")
+        source = docs if other_columns else self._named(docs)
+        id_name, text_name = (self.id_col, self.text_col) if other_columns else ("doc_id", "text")
         names = source.columns
+        owner, gone_keys = fresh("owner", names), fresh("gone", names)
+        keys = self.drops().withColumnsRenamed({"doc_id": owner, "keys": gone_keys})
+        joined = source.join(keys, F.col(id_name).cast("long") == F.col(owner), "left").drop(owner)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in rows(batches):
+            for batch in rows(batches, by=text_name):
                 kept, counts, dropped = [], [], []
-                for text, gone in zip(texts(batch.column("text")), batch.column("__keys").to_pylist(), strict=True):
+                for text, gone in zip(texts(batch.column(text_name)), batch.column(gone_keys).to_pylist(), strict=True):
                     lines = text.split("\n")
                     left = lines
                     if gone:
@@ -299,15 +301,15 @@ class LineIndex:
                     dropped.append(len(lines) - len(left))
                 if other_columns:
                     # a null text stays null
-                    old = batch.column("text").is_null().to_pylist()
+                    old = batch.column(text_name).is_null().to_pylist()
                     new = pa.array([None if o else k for o, k in zip(old, kept, strict=True)], pa.string())
-                    yield pa.RecordBatch.from_arrays([new if n == "text" else batch.column(n) for n in names], names)
+                    yield pa.RecordBatch.from_arrays([new if n == text_name else batch.column(n) for n in names], names)
                 else:
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept"])
 
         if not other_columns:
             return joined.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept string")
-        return joined.mapInArrow(run, source.schema).withColumnRenamed("doc_id", self.id_col).withColumnRenamed("text", self.text_col)
+        return joined.mapInArrow(run, source.schema)
 
 
 def op2_cuckoo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

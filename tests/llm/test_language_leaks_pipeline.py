@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -42,6 +43,49 @@ def test_tiles_match_brute_force():
             assert item[i : i + k] == text[j : j + k]
 
 
+def test_tiles_of_repetitive_texts():
+    rng = random.Random(8)
+    for _ in range(40):
+        item = [rng.randrange(2) for _ in range(rng.randrange(5, 30))]
+        text = [rng.randrange(-1, 2) for _ in range(rng.randrange(5, 40))]
+        assert dc.tiles(np.array(item), np.array(text), 3) == [(i, j, k) for k, i, j in brute_tiles(item, [x if x >= 0 else -9 - n for n, x in enumerate(text)], 3)]
+
+
+def test_leaks_match_brute_force():
+    rng = random.Random(6)
+    for _ in range(30):
+        items = [(k, " ".join(str(rng.randrange(9)) for _ in range(rng.randrange(3, 30)))) for k in range(12)]
+        text = []
+        for _ in range(rng.randrange(6)):
+            w = items[rng.randrange(12)][1].split()
+            at = rng.randrange(len(w))
+            text += w[at : at + rng.randrange(3, 25)] + [str(rng.randrange(12))]
+        want = []
+        for k, item in items:
+            w = item.split()
+            tiled = sum(n for n, _, _ in brute_tiles(w, text, 5))
+            if len(w) >= 5 and tiled >= 0.6 * len(w):
+                want.append((k, len(w), tiled))
+        assert [x[:3] for x in dc.Index(items).leaks(" ".join(text), 0.6)] == want
+
+
+def test_costly_benchmarks():
+    shared = " ".join(f"s{i}" for i in range(200))
+    rng = random.Random(7)
+    index = dc.Index([(k, f"{shared} " + " ".join(f"o{rng.randrange(10**6)}" for _ in range(300))) for k in range(2000)])
+    long = [f"w{i}" for i in range(4000)]
+    swapped = dc.Index([(1, " ".join(long))])
+    same = dc.Index([(1, "la " * 2000)])
+    for found, text, want in ((index, " ".join(shared.split()[:10]), 0), (index, shared, 0), (swapped, " ".join(long[2000:] + long[:2000]), 4000), (same, "la " * 2000, 2000)):
+        least = 9.0
+        for _ in range(3):
+            began = time.process_time()
+            leaks = found.leaks(text, 0.6)
+            least = min(least, time.process_time() - began)
+        assert [x[2] for x in leaks] == [want] * bool(want)
+        assert least < 0.3, least
+
+
 def test_reordered_passages_leak():
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
     w = item.split()
@@ -159,6 +203,17 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
         before = after
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, sf_dir, tmp_path):
+    odd = odd_documents(spark).selectExpr("*", "'k' as key", "'o' as owner", "'t' as task", "'u' as __key")
+    saved(spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string"), tmp_path, "benchmark")
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == odd.columns, name
+        docs = out
+    assert {tuple(r[-4:]) for r in docs.collect()} == {("k", "o", "t", "u")}
+
+
 def test_pipeline_of_odd_rows(spark, tmp_path):
     folder = saved(odd_documents(spark), tmp_path)
     saved(spark.createDataFrame([(1, "x")], "item_id long, text string"), tmp_path, "benchmark")
