@@ -10,11 +10,23 @@ from pyspark.sql import SparkSession
 _LOCAL: list[str] = []
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; below a temporary folder where the session names none."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
+
+    Where a session on one machine (tests) names none, a temporary folder is made once; on a cluster that is an
+    error, as executors would write to disks of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _LOCAL:
-            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
-        root = _LOCAL[0]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise RuntimeError(f"spark.checkpoint.dir isn't set: executors of {master} share no folder with the driver")
+    if not _LOCAL:
+        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
+    return _LOCAL[0]
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
