@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,24 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_LOCAL_ROOT: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where a session on one machine (tests) names none, a temporary folder is made once; on a cluster that is an
-    error, as executors would write to disks of their own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    master = spark.sparkContext.master
-    if master.split("[")[0] != "local":
-        raise RuntimeError(f"spark.checkpoint.dir isn't set: executors of {master} share no folder with the driver")
-    if not _LOCAL_ROOT:
-        _LOCAL_ROOT.append("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
-    return _LOCAL_ROOT[0]
+from ..plans.shared import fresh_path
 
 
 class Workspace:
@@ -37,16 +18,23 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path, self.names = fresh_path(spark, name), []
 
     def table(self, name: str, df: DataFrame, codec: str = "zstd") -> DataFrame:
         """Write ``df`` as a Parquet table and read it again: lineage ends here."""
         path = f"{self.path}/{name}"
+        self.names.append(name)
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_only(self, *names: str) -> None:
+        """Remove all other tables."""
+        for name in set(self.names) - {*names}:
+            self.drop(name)
+
     def drop(self, name: str) -> None:
         """Remove a table that nothing reads any more, through Hadoop's file system."""
+        self.names.remove(name)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

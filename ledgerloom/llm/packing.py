@@ -202,6 +202,8 @@ def pack(ws: Workspace, pieces: DataFrame, capacity: int = CAPACITY) -> DataFram
     while True:
         last = cells == 1
         placed = ws.table(f"level-{level}", _solve(ws, level, todo, capacity).mapInArrow(_placed(capacity, last), PLACED))
+        for epoch in range(EPOCHS):
+            ws.drop(f"level-{level}-epoch-{epoch}")
         number = F.lit(level << 56) + F.shiftleft("cell", 16) + F.col("bin")
         done.append(placed.where(~F.col("worst")).select("uid", number.alias("sequence_id"), "offset"))
         if last:

@@ -62,6 +62,44 @@ def test_jaccard_components(spark, n, num):
     assert {r[0]: (r[1], r[2]) for r in got.collect()} == brute_components(docs, n, num, 100)
 
 
+def joined_rows(spark, run):
+    """What each join of the queries that ``run`` starts has put out, by Spark's own metrics."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    made = []
+    for i in range(store.executionsList().size()):
+        e = store.executionsList().apply(i)
+        if e.executionId() not in before:
+            values, nodes = store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+            for k in range(nodes.size()):
+                if "Join" in nodes.apply(k).name():
+                    metrics = nodes.apply(k).metrics()
+                    for m in range(metrics.size()):
+                        if metrics.apply(m).name() == "number of output rows":
+                            found = values.get(metrics.apply(m).accumulatorId())
+                            made.append(int(found.get().replace(",", "")) if found.isDefined() else 0)
+    return out, made
+
+
+@pytest.mark.parametrize("size", [500, 2000])
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, size):
+    rng = random.Random(size)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(size):  # 0 to 9 words changed: pairs lie around 0.85
+        own = list(base)
+        for _ in range(rng.randrange(10)):
+            own[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(own)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got, made = joined_rows(spark, lambda: {r[0]: (r[1], r[2]) for r in jaccard.Join(spark, frame, 4, 85, 100).components().collect()})
+    if size <= 500:
+        assert got == brute_components(docs, 4, 85, 100)
+    assert made and max(made) <= 120 * size, max(made)
+
+
 def test_jaccard_over_the_table(spark, sf_dir):
     docs = [(r[0], r[1]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert {r[0]: (r[1], r[2]) for r in jaccard.op4_prefix_join(spark, sf_dir).collect()} == brute_components(docs, 4, 85, 100)
@@ -98,8 +136,10 @@ def test_components_of_chains_and_stars(spark):
         if a != b:
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
-    got = components(Workspace(spark, "t"), spark.createDataFrame(edges, "u long, v long"), "t")
-    assert {r[0]: r[1] for r in got.collect()} == {x: find(x) for x in parent}
+    for few in (0, 10**6):
+        got = components(Workspace(spark, "t"), spark.createDataFrame(edges, "u long, v long"), "t", few).collect()
+        assert {r[0]: r[1] for r in got} == {x: find(x) for x in parent} and len(got) == len(parent)
+        assert components(Workspace(spark, "t"), spark.createDataFrame([(1, 1)], "u long, v long").limit(0), "t", few).count() == 0
 
 
 def brute_lines(docs):
@@ -151,6 +191,15 @@ def test_inserts_and_deletes_leave_the_same_index(spark, monkeypatch, broadcast)
     assert sum(int((f.cells > 0).sum()) for f in prints.values()) == len(refs(index))
 
 
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(10, "one shared line", "a", "b", 5, "c"), (11, "One shared line \nown", "a", "b", 6, "d")], "id long, body string, owner string, Gone string, doc_id int, text string")
+    index = linededup.LineIndex(spark, "id", "body")
+    index.insert(docs)
+    out = index.apply(docs, other_columns=True)
+    assert out.schema == docs.schema
+    assert sorted(map(tuple, out.collect())) == [(10, "one shared line", "a", "b", 5, "c"), (11, "own", "a", "b", 6, "d")]
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(7)
     keys = rng.integers(0, 2**64, 20000, dtype=np.uint64)
