@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import html_to_text
 from .common import Workspace, join_hot_apart, rows, texts
 
 CELLS, SAMPLE, TEMPER, STRENGTH, SEGMENT = 1 << 15, 20_000, 0.3, 10.0, 1 << 20
@@ -139,17 +140,18 @@ def _smoothed(counts: Column, parent: Column) -> Column:
     return F.zip_with(counts, parent, lambda c, p: (c + STRENGTH * p) / (total + STRENGTH))
 
 
-def identify(spark: SparkSession, table: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", label_col: str | None = None, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def identify(spark: SparkSession, table: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source", label_col: str | None = None, labelled: DataFrame | None = None, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """row_id, language, posterior, declared, host and accepted of every row.
 
-    ``host_col`` may hold whole addresses or hosts; labels are the declared languages unless named.
+    ``host_col`` may hold whole addresses or hosts. The text model is fitted on ``labelled`` (text, label), if given, so
+    that what rows declare is evidence apart from the labels; else on the rows' ``label_col``, by default what they declare.
     """
     ws = Workspace(spark, "language")
     address = F.lower(F.coalesce(F.col(host_col), F.lit("")))
     host = F.regexp_extract(address, r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]*)", 1)
     source = table.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"), F.lower(F.coalesce(F.col(declared_col), F.lit(""))).alias("declared"), host.alias("host"), F.col(label_col or declared_col).alias("label"))
-    has = source.where(F.coalesce("label", F.lit("")) != "")
-    has = has.select(F.lower("label").alias("label"), "text", F.xxhash64("row_id", "text").alias("h"), F.col("text").rlike(LETTER).alias("says"))
+    has = source.select("label", "text", F.xxhash64("row_id", "text").alias("h")) if labelled is None else labelled.select("label", "text", F.xxhash64("text").alias("h"))
+    has = has.where(F.coalesce("label", F.lit("")) != "").select(F.lower("label").alias("label"), "text", "h", F.col("text").rlike(LETTER).alias("says"))
     # Every label with letters gives rows: its smallest hash is taken besides those that the rate takes.
     counts = ws.table("labels", has.groupBy("label").agg(F.count_if("says").alias("n"), F.min(F.when(F.col("says"), F.col("h"))).alias("least")))
     common = [r[0] for r in counts.select("label").collect()]
@@ -199,3 +201,11 @@ def identify(spark: SparkSession, table: DataFrame, id_col: str = "doc_id", text
 def op3_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text of documents; lang is the declared one, source the host."""
     return identify(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("row_id", "doc_id")
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page: its text by a model of the documents' labels, its markup's language, its address's host and suffix."""
+    declared = F.regexp_extract("html", r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([a-z0-9_-]+)""", 1)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", html_to_text(F.col("html")).alias("text"), declared.alias("lang"), "url")
+    labelled = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("lang").alias("label"), "text")
+    return identify(spark, pages, "page_id", host_col="url", labelled=labelled).withColumnRenamed("row_id", "page_id")

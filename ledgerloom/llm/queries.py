@@ -5,7 +5,7 @@ from __future__ import annotations
 from .chat import op8_chat_format
 from .decontamination import op1_string_tiling
 from .jaccard import op4_prefix_join
-from .language import op3_language_fusion
+from .language import language_of_pages, op3_language_fusion
 from .linededup import op2_cuckoo_lines
 from .media import op7_mpeg_audio
 from .packing import op6_genetic_packing
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_entropy_secrets": op9_entropy_secrets,
     "op10_best_fit_shards": op10_best_fit_shards,
+    "language_of_pages": language_of_pages,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_cuckoo_lines": """

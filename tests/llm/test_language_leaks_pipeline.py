@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import numpy as np
@@ -136,6 +137,64 @@ def test_languages_held_out(spark, sf_dir):
     assert all(r["accepted"] for r in told.values())
 
 
+def brute_languages(labelled, rows):
+    """Language and posterior by the module's text, from (label, text) and (id, text, declared, address)."""
+    names = sorted({label.lower() for label, text in labelled if label and re.search("[A-Za-z]|[^\\x00-\\x7f]", text or "")})
+    table = np.zeros((language.CELLS, len(names) + 1), np.float32)
+    for k, name in enumerate(names):
+        counts = sum(np.bincount(language.trigrams(t or ""), minlength=language.CELLS) for label, t in labelled if label and label.lower() == name)
+        table[:, k] = np.log((counts + 0.02) / (counts.sum() + 0.02 * language.CELLS))
+    table[:, -1] = -np.log(language.CELLS)
+    n, common, seen = len(names) + 1, {x for x, _ in ((label.lower(), 0) for label, _ in labelled if label)}, []
+    for name, text, declared, address in rows:
+        cells, d = language.trigrams(text or ""), (declared or "").lower()
+        ll = table[cells].sum(0, dtype=np.float64).round(6) if len(cells) else np.zeros(n)
+        d = d if d in common or d == "" else (re.match("([a-z]{2,3})[-_]", d) or ["", ""])[1] or "?"
+        host = re.match(r"(?:[a-z][a-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]*)", (address or "").lower())[1]
+        parts = host.split(".")
+        levels = [parts[-1] if len(parts) > 1 else "", ".".join(parts[-2:]), host]
+        seen.append((name, len(cells), ll, int(ll.argmax()), d if d in common or d == "" else "?", levels))
+    heard = [s for s in seen if s[1]]
+    count = lambda f: np.bincount([s[3] for s in heard if f(s)], minlength=n).astype(float)
+    totals = count(lambda s: True)
+    values, out = len(common | {"", "?"}), {}
+    smooth = lambda c, p: (c + 10 * p) / (c.sum() + 10)
+    for name, size, ll, guess, d, levels in seen:
+        prior = (totals + 1) / (totals.sum() + n)
+        for i in (0, 1, 2):
+            own = count(lambda s, i=i, levels=levels: s[5][: i + 1] == levels[: i + 1])
+            if i == 2 and size:
+                own[guess] -= 1
+            prior = smooth(own, prior)
+        score = ll * 0.3 + np.log((count(lambda s, d=d: s[4] == d) + 0.5) / (totals + 0.5 * values)) + np.log(prior)
+        k = int(score.argmax())
+        out[name] = ([*names, "und"][k], 1 / np.exp(score - score.max()).sum()) if size else ("und", 0.0)
+    return out
+
+
+def test_fusion_matches_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()
+    labelled = [(r["lang"], r["text"]) for r in docs[:30]]
+    hosts = ["https://a.x.de/q", "http://b.x.de", "c.x.de", "https://u@d.com:80/", "srv", "", None]
+    said = [None, "", "de", "DE-at", "xx", "en", "fr_FR"]
+    rows = [(i, r["text"][:40] if i % 3 else r["text"], said[i % 7], hosts[i * 5 % 7]) for i, r in enumerate(docs)] + [(900, "12 34", "de", "a.x.de"), (901, None, None, None)]
+    want = brute_languages(labelled, rows)
+    frame = spark.createDataFrame(rows, "id long, text string, lang string, url string")
+    got = language.identify(spark, frame, "id", host_col="url", labelled=spark.createDataFrame(labelled, "label string, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["language"] == want[r["row_id"]][0] and abs(r["posterior"] - want[r["row_id"]][1]) < 2e-4, (r, want[r["row_id"]])
+
+
+def test_languages_of_pages(spark, sf_dir):
+    told = language.language_of_pages(spark, sf_dir).collect()
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    assert {r["page_id"] for r in told} == set(pages) and len(told) == len(pages)
+    written = [(r["language"], re.search('<html lang="([a-z]+)"', pages[r["page_id"]]["html"])) for r in told]
+    written = [(a, b[1]) for a, b in written if b]
+    assert sum(a == b for a, b in written) >= 0.9 * len(written) and {r["host"].rsplit(".", 1)[-1] for r in told} - {""}
+
+
 def test_languages_use_all_evidence(spark):
     rows = []
     for i in range(40):
