@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import scalars as S
+from ..plans import duck as D
 from ..plans.model import CTES, Model
 from ..plans.registry import query
 
@@ -148,16 +150,16 @@ def market_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("markets_by_neighborhood", W + "select coalesce(neighborhood, 'Bairro não informado') as neighborhood, count(*) as markets, min(name) as first_name, max(name) as last_name from markets where active group by 1")
 def markets_by_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.coalesce("neighborhood", F.lit("Bairro não informado")).alias("neighborhood")
-    return Model(spark, sf_dir).markets.where("active").groupBy(key).agg(F.count("*").alias("markets"), F.min("name").alias("first_name"), F.max("name").alias("last_name")).orderBy("neighborhood")
+    return Model(spark, sf_dir).markets.where("active").groupBy(key).agg(F.count("*").alias("markets"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
 
 
 @query("market_directory", W + f""", {STATS_SQL}
 select market_id, name, type, neighborhood, cast(coalesce(c, 0) as double) / 100 as total, coalesce(n, 0) as trips from markets left join s using (market_id)
-where active and neighborhood in ('NATION_1', 'NATION_2', 'NATION_3') and contains(lower(name || ' ' || neighborhood), 'customer')""")
+where active and neighborhood in ('NATION_1', 'NATION_2', 'NATION_3') and contains({D.norm("name || ' ' || neighborhood")}, 'customer')""")
 def market_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Model(spark, sf_dir)
-    wanted = m.markets.where("active").where(F.col("neighborhood").isin("NATION_1", "NATION_2", "NATION_3")).where(F.lower(F.concat_ws(" ", "name", "neighborhood")).contains("customer"))
-    return wanted.join(market_sums(m), "market_id", "left").select("market_id", "name", "type", "neighborhood", money(F.coalesce("c", F.lit(0))).alias("total"), F.coalesce("n", F.lit(0)).alias("trips")).orderBy(F.coalesce("neighborhood", F.lit("ZZZ")), "name")
+    wanted = m.markets.where("active").where(F.col("neighborhood").isin("NATION_1", "NATION_2", "NATION_3")).where(S.normalize(F.concat_ws(" ", "name", "neighborhood")).contains("customer"))
+    return wanted.join(market_sums(m), "market_id", "left").select("market_id", "name", "type", "neighborhood", money(F.coalesce("c", F.lit(0))).alias("total"), F.coalesce("n", F.lit(0)).alias("trips"))
 
 
 #: Which of a product's items is the latest.
@@ -180,16 +182,16 @@ HISTORY_SQL = f"""{DATED_SQL}, ranked as (select *, row_number() over (partition
 h as (select product_id, count(*) as n, sum(unit_price_e4) as su, sum(quantity_e3) as sq, max(unit_price_e4) filter (r = 1) as lu, max(quantity_e3) filter (r = 1) as lq from ranked group by 1)"""
 
 
-@query("product_catalog", W + f", {HISTORY_SQL} select product_id, name, brand, category, n as occurrences, cast(lu as double) / 10000 as last_price from products left join h using (product_id) where contains(lower(name || ' ' || brand), 'widget') and category = 'ECONOMY'")
+@query("product_catalog", W + f", {HISTORY_SQL} select product_id, name, brand, category, n as occurrences, cast(lu as double) / 10000 as last_price from products left join h using (product_id) where contains({D.norm("name || ' ' || brand")}, 'widget') and category = 'ECONOMY'")
 def product_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Model(spark, sf_dir)
-    wanted = m.products.where(F.lower(F.concat_ws(" ", "name", "brand")).contains("widget")).where("category = 'ECONOMY'")
+    wanted = m.products.where(S.normalize(F.concat_ws(" ", "name", "brand")).contains("widget")).where("category = 'ECONOMY'")
     return wanted.join(product_history(m), "product_id", "left").select("product_id", "name", "brand", "category", F.col("n").alias("occurrences"), (F.col("lu").cast("double") / 10000).alias("last_price"))
 
 
-@query("catalog_typeahead", W + "select product_id, name, brand from products where contains(lower(name), 'ring') or contains(lower(brand), 'ring') order by product_id limit 8")
+@query("catalog_typeahead", W + f"select product_id, name, brand from products where contains({D.norm('name')}, 'ring') or contains({D.norm('brand')}, 'ring') order by product_id limit 8")
 def catalog_typeahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Model(spark, sf_dir).products.where(F.lower("name").contains("ring") | F.lower("brand").contains("ring"))
+    found = Model(spark, sf_dir).products.where(S.normalize(F.col("name")).contains("ring") | S.normalize(F.col("brand")).contains("ring"))
     return found.orderBy("product_id").limit(8).select("product_id", "name", "brand")  # the list shows 8
 
 

@@ -331,12 +331,3 @@ def receipt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = S.digits(F.col("fiscal_key"))
     base = F.concat_ws("##", S.digits(F.col("cnpj")), S.blank(F.col("date")), F.substring(S.blank(F.col("time")), 1, 8), whole("total", 100), S.blank(F.col("sig")))
     return HEADERS.df(spark).join(lines, "receipt_id", "left").select("receipt_id", F.when(F.length(key) == 44, F.concat(F.lit("FISCAL:"), key)).otherwise(F.sha2(base, 256)).alias("fingerprint"))
-
-
-@query("duplicate_candidates", f"with {CTES} select a.purchase_id as first, b.purchase_id as second, cast(a.total_cents - b.total_cents as double) / 100 as delta from purchases a join purchases b on a.market_id = b.market_id and a.purchase_date = b.purchase_date and a.purchase_id < b.purchase_id where abs(a.total_cents - b.total_cents) <= 10000000")
-def duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases of one market and day whose totals are near; the band is wide as the driver's totals never agree to cents."""
-    p = Model(spark, sf_dir).purchases.select("purchase_id", "market_id", "purchase_date", "total_cents")
-    b = p.select(F.col("purchase_id").alias("second"), "market_id", "purchase_date", F.col("total_cents").alias("other"))
-    pairs = p.withColumnRenamed("purchase_id", "first").join(b, ["market_id", "purchase_date"]).where("first < second and abs(total_cents - other) <= 10000000")
-    return pairs.select("first", "second", ((F.col("total_cents") - F.col("other")).cast("double") / 100).alias("delta"))

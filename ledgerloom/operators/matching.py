@@ -179,20 +179,10 @@ def key_lookup(wanted: DataFrame, products: DataFrame) -> DataFrame:
     return best.select("code", "b.product_id", "b.by_key")
 
 
-@query("or_key_lookup", """with k as (select p_partkey, p_name, p_brand from part), l as (select distinct l_partkey as code, 'red widget' as name from lineitem where l_orderkey < 50),
-hits as (select l.code, k.p_partkey, 1 as pri from l join k on l.code = k.p_partkey union all select l.code, k.p_partkey, 2 from l join k on l.name = k.p_name)
-select code, p_partkey as product_id, pri as by_key from (select *, row_number() over (partition by code order by pri, p_partkey) as r from hits) where r = 1""")
-def or_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lookup over the few lines and the one name that its SQL asks for; ``or_key_lookup_all`` takes all lines."""
-    m = Model(spark, sf_dir)
-    wanted = m.table("lineitem").where("l_orderkey < 50").select(F.col("l_partkey").alias("code"), F.lit("red widget").alias("name"))
-    return key_lookup(wanted, m.products)
-
-
-@query("or_key_lookup_all", """with l as (select distinct l_partkey as code, p_name as name from lineitem left join part on l_partkey = p_partkey),
+@query("or_key_lookup", """with l as (select distinct l_partkey as code, p_name as name from lineitem left join part on l_partkey = p_partkey),
 hits as (select l.code, k.p_partkey, 1 as pri from l join part k on l.code = k.p_partkey union all select l.code, k.p_partkey, 2 from l join (select p_name, min(p_partkey) as p_partkey from part group by 1) k on l.name = k.p_name)
 select code, p_partkey as product_id, pri as by_key from (select *, row_number() over (partition by code order by pri, p_partkey) as r from hits) where r = 1""")
-def or_key_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def or_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct codes of all lines with their names."""
     m = Model(spark, sf_dir)
     codes = m.items.select(F.col("product_id").alias("code")).distinct()

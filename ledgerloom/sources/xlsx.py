@@ -3,15 +3,19 @@
 Files are read by Spark's binaryFile source, so any store that Spark reads will do; each workbook is parsed in the
 task that holds its bytes. The sheet named like "lista" is taken, else the first; cells may be shared or
 inline strings, booleans or numbers; references may be sparse; blank rows are dropped. A file that isn't a
-workbook gives no rows.
+workbook, is damaged or encrypted, or whose parts are larger than ``MOST`` bytes gives no rows; only the parts that
+are needed are unpacked, and never more of them than that.
 """
 
 from __future__ import annotations
 
 import io
+import lzma
 import re
+import struct
 import unicodedata
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -21,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+#: Bytes of a part that are unpacked at most.
+MOST = 64 << 20
 OFFICE = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 #: Field of a header by its normalized text.
@@ -54,20 +60,28 @@ def column_number(ref: str) -> int:
     return n
 
 
+def _part(book: zipfile.ZipFile, name: str) -> bytes:
+    """A member's bytes; what the directory says of its size isn't trusted."""
+    with book.open(name) as member:
+        found = member.read(MOST + 1)
+    if len(found) > MOST:
+        raise ValueError(f"{name} has more than {MOST} bytes")
+    return found
+
+
 def read_rows(data: bytes) -> list[list[str]]:
     """Dense rows of the list's sheet; none if the bytes aren't a workbook."""
+    shared = []
     try:
         book = zipfile.ZipFile(io.BytesIO(data))
-        parts = {n: book.read(n) for n in book.namelist()}
-        sheets = ElementTree.fromstring(parts["xl/workbook.xml"]).findall(f"{MAIN}sheets/{MAIN}sheet")
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(parts["xl/_rels/workbook.xml.rels"])}
+        sheets = ElementTree.fromstring(_part(book, "xl/workbook.xml")).findall(f"{MAIN}sheets/{MAIN}sheet")
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(_part(book, "xl/_rels/workbook.xml.rels"))}
         sheet = next((s for s in sheets if "lista" in plain(s.get("name") or "")), sheets[0])
-        tree = ElementTree.fromstring(parts["xl/" + targets[sheet.get(f"{OFFICE}id")].lstrip("/").removeprefix("xl/")])
-    except (zipfile.BadZipFile, KeyError, IndexError, ElementTree.ParseError, AttributeError):
+        tree = ElementTree.fromstring(_part(book, "xl/" + targets[sheet.get(f"{OFFICE}id")].lstrip("/").removeprefix("xl/")))
+        if "xl/sharedStrings.xml" in book.namelist():
+            shared = ["".join(t.text or "" for t in si.iter(f"{MAIN}t")) for si in ElementTree.fromstring(_part(book, "xl/sharedStrings.xml"))]
+    except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, KeyError, IndexError, ElementTree.ParseError, AttributeError, RuntimeError, ValueError, EOFError, OSError, struct.error):
         return []
-    shared = []
-    if "xl/sharedStrings.xml" in parts:
-        shared = ["".join(t.text or "" for t in si.iter(f"{MAIN}t")) for si in ElementTree.fromstring(parts["xl/sharedStrings.xml"])]
     out = []
     for row in tree.iter(f"{MAIN}row"):
         cells: dict[int, str] = {}

@@ -10,7 +10,7 @@ from ..plans.shared import fresh_path
 
 
 def hourly_counts(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Events by hour and type; events later than the delay are late and state is dropped behind it."""
+    """Events by hour and type; events later than the delay are late, and an hour's state is dropped once it is behind it."""
     hour = F.window("ts", "1 hour")
     counts = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(hour, "event_type").agg(F.count("*").alias("rows"))
     return counts.select(F.col("window.start").alias("hour"), "event_type", "rows")
@@ -18,9 +18,14 @@ def hourly_counts(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 @query("stream_event_counts", "select date_trunc('hour', ts) as hour, event_type, count(*) as rows from events group by 1, 2")
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events as a stream, until none is left; each batch rewrites the counts."""
+    """All events as a stream, until none is left.
+
+    In update mode a batch writes only the counts that it changed, to a folder of its own, so a batch that runs
+    again replaces what it wrote; of each key the last batch's count holds.
+    """
     out, path = fresh_path(spark, "stream"), f"{sf_dir}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
-    stream = hourly_counts(events).writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{out}-state")
-    stream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start().awaitTermination()
-    return spark.read.schema("hour timestamp, event_type string, rows long").parquet(out)
+    stream = hourly_counts(events).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{out}-state")
+    stream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start().awaitTermination()
+    changes = spark.read.schema("hour timestamp, event_type string, rows long, batch long").parquet(out)
+    return changes.groupBy("hour", "event_type").agg(F.max_by("rows", "batch").alias("rows"))

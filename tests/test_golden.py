@@ -117,3 +117,42 @@ def test_plans_push_down(spark, sf_dir):
     plan = Model(spark, sf_dir).active_items.groupBy("product_id").agg(F.sum("net_cents"))._jdf.queryExecution().toString()
     assert "l_tax" not in plan.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].split("Relation")[0]
     assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan
+
+
+def test_workbooks_that_are_damaged_or_too_large(monkeypatch):
+    import io
+    import zipfile
+
+    from ledgerloom.sources import xlsx
+
+    book = xlsx.write_rows([["Nome", "Quantidade"], ["Arroz", "2"], ["Feijão " * 40, "1"]])
+    assert len(xlsx.list_rows(book)) == 2
+    names = {"Arroz", ("Feijão " * 40).strip()}
+    for at in range(0, len(book), 3):  # any one byte changed, and any prefix
+        broken = bytearray(book)
+        broken[at] ^= 0x5A
+        assert all(set(r) <= set(xlsx.FIELDS) for r in xlsx.list_rows(bytes(broken)))
+        assert xlsx.list_rows(book[:at]) == []
+    encrypted = bytearray(book)
+    for mark, flag in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        at = encrypted.find(mark)
+        while at >= 0:
+            encrypted[at + flag] |= 1
+            at = encrypted.find(mark, at + 1)
+    assert xlsx.list_rows(bytes(encrypted)) == []
+    monkeypatch.setattr(xlsx, "MOST", 4096)
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(book)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        for name in old.namelist():
+            new.writestr(name, old.read(name) + b" " * (10**6 if "sheet1" in name else 0))
+    assert xlsx.list_rows(out.getvalue()) == []
+    assert {r["name"] for r in xlsx.list_rows(book)} == names
+
+
+def test_streamed_counts_replace_what_a_batch_wrote(spark, tmp_path):
+    from ledgerloom.streaming.audit_log import stream_event_counts
+
+    rows = [(i, f"2024-01-01 0{i % 3}:30:00", "a" if i % 2 else "b") for i in range(40)]
+    spark.createDataFrame(rows, "event_id long, ts string, event_type string").selectExpr("event_id", "cast(ts as timestamp) as ts", "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    got = stream_event_counts(spark, str(tmp_path)).collect()
+    assert sum(r["rows"] for r in got) == 40 and len(got) == 6
