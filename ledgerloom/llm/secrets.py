@@ -19,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -95,12 +97,15 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """The rules' spans, and all spans with those that entropy adds."""
     base = base_spans(text)
+    starts = [a for a, _, _ in base]
+    reach = list(accumulate((b for _, b, _ in base), max))
     more = []
     for m in CANDIDATE.finditer(text):
         if not allowed(m[0]):
             for a, b in hot_windows(m[0]):
                 span = (m.start() + a, m.start() + b, "entropy")
-                if not any(x < span[1] and span[0] < y for x, y, _ in base):
+                before = bisect_left(starts, span[1])  # rules' spans that begin before its end
+                if not before or reach[before - 1] <= span[0]:
                     more.append(span)
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
