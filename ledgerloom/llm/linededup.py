@@ -12,7 +12,7 @@ A ``LineIndex`` is a set of tables, sharded by a hash of the line's key:
 ``insert`` adds documents, ``delete`` takes them back (counts go down, keys leave the filters, owners are
 found anew), ``apply`` gives texts without the lines that a smaller document owns. Filters only ever spare
 work: an exact join follows each. Filters are sent to all tasks if they are small (``BROADCAST`` bytes,
-checked), else postings meet the filter of their shard.
+checked), else postings meet the filter of their shard, in several tasks if these are many. An index that has grown gets more shards.
 
 A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased, if that has at least
 ``LEAST`` code points; keys are held as MD5 digests. Null and empty texts are one empty line. Rows
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, fresh, join_hot_apart, rows, texts
 
 LEAST, SHARDS, SHARD_KEYS, BROADCAST, SLOTS = 10, 64, 250_000, 16 << 20, 4
+#: Rows that meet a filter in one task.
+PROBES = 2_000_000
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -137,15 +139,25 @@ def _loaded(table: pa.Table) -> CuckooFilter | None:
 
 
 def _probe(left: DataFrame, filters: DataFrame, columns: str) -> DataFrame:
-    """Rows of ``left`` with ``maybe``: whether their shard's filter may hold their key."""
+    """Rows of ``left`` with ``maybe``: whether their shard's filter may hold their key.
+
+    A shard of more than ``PROBES`` rows, as one line of all documents makes, is dealt to several tasks by its other columns.
+    """
     names = [c.split()[0] for c in columns.split(", ")]
+    sizes = left.groupBy("shard").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("parts"))  # one row a shard
+    dealt = left.join(F.broadcast(sizes), "shard").select(*names, F.pmod(F.xxhash64(*names), "parts").cast("int").alias("part"))
+    copies = filters.join(F.broadcast(sizes), "shard").select("shard", "buckets", "cells", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         f = _loaded(b)
         maybe = f.may_have(_hashes(a["key"])) if f and a.num_rows else np.zeros(a.num_rows, bool)
         return a.select(names).append_column("maybe", pa.array(maybe, pa.bool_()))
 
-    return left.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(run, columns + ", maybe boolean")
+    return dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(run, columns + ", maybe boolean")
+
+
+def _sharded(table: DataFrame, shards: int) -> DataFrame:
+    return table.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
 
 
 def _postings(docs: DataFrame, shards: int) -> DataFrame:
@@ -159,7 +171,7 @@ def _postings(docs: DataFrame, shards: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(names, pa.int64())], ["key", "doc_id"])
 
     found = docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "key binary, doc_id long")
-    return found.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key", "doc_id")
+    return _sharded(found, shards).select("shard", "key", "doc_id")
 
 
 def _refs(postings: DataFrame) -> DataFrame:
@@ -193,8 +205,8 @@ class LineIndex:
         if self.refs is None:
             while self.shards * SHARD_KEYS < new.count():
                 self.shards *= 2
-            new = new.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int"))
-            self.postings, self.refs = new, self._table("refs", _refs(new))
+            self.postings = _sharded(new, self.shards)
+            self.refs = self._table("refs", _refs(self.postings))
             self.seen = self._table("seen", _built(self.refs))
         else:
             probed = self._table("probed", _probe(_refs(new), self.seen, REFS))
@@ -206,8 +218,19 @@ class LineIndex:
             self.seen = self._table("seen", self._filled(added))
             self.postings = self.postings.unionByName(new)
             self.refs = self._table("refs", met.unionByName(added))
+            self._grow()
         self._share()
 
+    def _grow(self) -> None:
+        """More shards, and filters built anew from the exact keys, once shards hold twice the keys that they should."""
+        keys = self.refs.count()
+        if keys <= 2 * self.shards * SHARD_KEYS:
+            return
+        while self.shards * SHARD_KEYS < keys:
+            self.shards *= 2
+        self.postings, self.refs = _sharded(self.postings, self.shards), _sharded(self.refs, self.shards)
+        self.seen = self._table("grown", _built(self.refs))
+
     def _filled(self, added: DataFrame) -> DataFrame:
         """The filters with new keys; a filter that is too full is built anew from the exact keys."""
 

@@ -168,9 +168,11 @@ def test_line_dedup(spark, sf_dir, tmp_path):
     assert linededup.op2_cuckoo_lines(spark, saved(odd_documents(spark, True), tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("broadcast", [0, 1 << 24])
-def test_inserts_and_deletes_leave_the_same_index(spark, monkeypatch, broadcast):
+@pytest.mark.parametrize(("broadcast", "probes", "keys"), [(0, 7, 250_000), (1 << 24, 2_000_000, 30)])
+def test_inserts_and_deletes_leave_the_same_index(spark, monkeypatch, broadcast, probes, keys):
     monkeypatch.setattr(linededup, "BROADCAST", broadcast)
+    monkeypatch.setattr(linededup, "PROBES", probes)
+    monkeypatch.setattr(linededup, "SHARD_KEYS", keys)
     monkeypatch.setattr(linededup, "SHARDS", 4)
     rng = random.Random(4)
     docs = [(i, "\n".join(rng.choice(["", f"common line {rng.randrange(30)}", f"line of its own {i} {rng.randrange(9)}"]) for _ in range(12))) for i in range(60)]
@@ -178,6 +180,7 @@ def test_inserts_and_deletes_leave_the_same_index(spark, monkeypatch, broadcast)
     index = linededup.LineIndex(spark)
     for a, b in ((0, 20), (20, 45), (45, 60)):
         index.insert(frame(docs[a:b]))
+    assert index.shards == 4 if keys > 1000 else index.shards > 4
     gone = docs[0:5] + docs[30:40]
     index.delete(frame(gone))
     left = [d for d in docs if d not in gone]

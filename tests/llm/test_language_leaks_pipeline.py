@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import time
@@ -246,6 +247,10 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
             assert ids(after) == ids(before)
         if name == "lines":
             assert after.count() == before.count()
+            from .test_joins_lines import brute_lines
+
+            want = {(d, digest) for d, _, _, digest in brute_lines([(r["doc_id"], r["text"]) for r in before.collect()])}
+            assert {(r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in after.collect()} == want
             seen = {}
             for r in after.collect():
                 for line in {x.strip(" \t\x0b\x0c\r").lower() for x in r["text"].split("\n")}:
@@ -257,8 +262,25 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
 
             groups = brute_components([(r["doc_id"], r["text"]) for r in before.collect()], 5, 80, 100)
             assert ids(after) == {c for _, c in groups.values()}
+        if name == "decontamination":
+            items = [dc.words(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+            leaky = set()
+            for r in before.collect():
+                text = dc.words(r["text"] or "")
+                runs = {tuple(text[i : i + 5]) for i in range(len(text) - 4)}
+                near = [w for w in items if any(tuple(w[i : i + 5]) in runs for i in range(len(w) - 4))]
+                if any(sum(k for k, _, _ in brute_tiles(w, text, 5)) >= 0.6 * len(w) for w in near):
+                    leaky.add(r["doc_id"])
+            assert ids(after) == ids(before) - leaky and leaky
         if name == "packing":
-            assert ids(after) == ids(before)
+            from tokenizers import Tokenizer
+
+            from ledgerloom.llm.tokens import word_vocabulary
+
+            from .test_tokens import check_packing
+
+            tokenizer = Tokenizer.from_file(word_vocabulary())
+            check_packing(after.collect(), [(r["doc_id"], r["text"]) for r in before.collect()], lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids + [1])
         before = after
 
 
