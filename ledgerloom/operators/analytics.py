@@ -244,9 +244,11 @@ def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("acquisition_series", W + f""", {DATED_SQL} select product_id, purchase_date, line_number, cast(quantity_e3 as double) / 1000 as quantity,
  floor(cast(quantity_e3 as double) / max(quantity_e3) over (partition by product_id) * 10000 + 0.5) / 100 as height, count(*) over (partition by product_id) >= 3 as has_text from dated""")
 def acquisition_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("product_id")
+    """Each item against its product's largest; sums come from an aggregation with partial results, so a hot product is no one task's."""
+    m = Model(spark, sf_dir)
     q = F.col("quantity_e3").cast("double")
-    return dated_items(Model(spark, sf_dir)).select("product_id", "purchase_date", "line_number", (q / 1000).alias("quantity"), floor2(q / F.max("quantity_e3").over(w) * 100).alias("height"), (F.count("*").over(w) >= 3).alias("has_text"))
+    most = m.items.join(m.purchases.select("purchase_id"), "purchase_id", "left_semi").groupBy("product_id").agg(F.max("quantity_e3").alias("most"), F.count("*").alias("n"))
+    return dated_items(m).join(most, "product_id").select("product_id", "purchase_date", "line_number", (q / 1000).alias("quantity"), floor2(q / F.col("most") * 100).alias("height"), (F.col("n") >= 3).alias("has_text"))
 
 
 @query("qty_excess", W + f", {HISTORY_SQL} select product_id, n as occurrences, cast(lq as double) / 1000 as last_quantity, floor(cast(sq as double) / n + 0.5) / 1000 as mean_quantity from h where n >= 2 and 2 * lq * n > 3 * sq")

@@ -236,14 +236,22 @@ def _plain(text: object) -> str:
     return re.sub("[^a-z0-9]+", " ", base).strip()
 
 
+def _rows(pdf: pd.DataFrame) -> list[dict]:
+    """A receipt's rows in order, each with what comparisons need of its name and code."""
+    if pdf.empty:
+        return []
+    rows = pdf.sort_values("seq").astype(object).where(pdf.notna(), None).to_dict("records")
+    for r in rows:
+        name = _plain(r["name"])
+        r |= {"_name": name, "_words": set(name.split()), "_digits": "".join(c for c in str(r["code"] or "") if c.isdigit())}
+    return rows
+
+
 def _similar(a: dict, b: dict, tolerance: float, quantity: bool) -> float:
-    digits = lambda s: "".join(c for c in str(s or "") if c.isdigit())
     some = lambda v: v is not None and v == v and v != 0
-    score = 0.55 if a["code"] and b["code"] and digits(a["code"]) == digits(b["code"]) else 0.0
-    x, y = _plain(a["name"]), _plain(b["name"])
-    if x and y:
-        p, q = set(x.split()), set(y.split())
-        score += 0.35 if x == y else 0.3 * len(p & q) / len(p | q)
+    score = 0.55 if a["code"] and b["code"] and a["_digits"] == b["_digits"] else 0.0
+    if a["_name"] and b["_name"]:
+        score += 0.35 if a["_name"] == b["_name"] else 0.3 * len(a["_words"] & b["_words"]) / len(a["_words"] | b["_words"])
     score += 0.25 * (some(a["total"]) and some(b["total"]) and abs(a["total"] - b["total"]) <= tolerance)
     if quantity:
         score += 0.1 * (some(a["quantity"]) and some(b["quantity"]) and abs(a["quantity"] - b["quantity"]) <= 0.001)
@@ -255,7 +263,7 @@ def cluster_items(rows: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         clusters: list[list[dict]] = []
-        for row in pdf.sort_values("seq").astype(object).where(pdf.notna(), None).to_dict("records"):
+        for row in _rows(pdf):
             home = next((c for c in clusters if any(_similar(x, row, 0.03, True) >= 0.62 for x in c)), None)
             if home is None:
                 clusters.append([row])
@@ -284,9 +292,8 @@ def merge_vision(local: DataFrame, vision: DataFrame) -> DataFrame:
     """Each vision row takes the best unused local row of .55 or more; local rows left over follow, to be reviewed."""
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = lambda p: [] if p.empty else p.sort_values("seq").astype(object).where(p.notna(), None).to_dict("records")
-        left, out, used = rows(a), [], set()
-        for v in rows(b):
+        left, out, used = _rows(a), [], set()
+        for v in _rows(b):
             best, sim = None, -1.0
             for k, x in enumerate(left):
                 s = _similar(x, v, 0.05, False)

@@ -350,3 +350,31 @@ def consensus_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = lambda c: F.when(c, 0.2).otherwise(0.0)
     c = F.least(F.lit(1.0), 0.35 * sure + 0.25 * cover + flag(S.blank(F.col("cnpj")) != "") + flag(F.col("date").isNotNull() & (F.col("total") != 0)))
     return x.select("receipt_id", F.coalesce("name", F.lit("Mercado não identificado")).alias("name"), S.blank(F.col("cnpj")).alias("cnpj"), S.blank(F.col("date")).alias("date"), "total", score4(c).alias("confidence"))
+
+
+@query("display_dates", W + "select purchase_id, case when purchase_id % 10 = 0 then '—' else lpad(cast(day(purchase_date) as varchar), 2, '0') || '/' || lpad(cast(month(purchase_date) as varchar), 2, '0') || '/' || year(purchase_date) end as shown from purchases")
+def display_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as pt-BR writes them, a dash for none (here: every tenth)."""
+    day = F.when(F.col("purchase_id") % 10 != 0, F.col("purchase_date"))
+    return Model(spark, sf_dir).purchases.select("purchase_id", F.coalesce(F.date_format(day, "dd/MM/yyyy"), F.lit("—")).alias("shown"))
+
+
+@query("vision_total", W + ", t as (select purchase_id, total_cents as l, case purchase_id % 4 when 0 then 0 when 1 then total_cents + 5 when 2 then total_cents - 6 else total_cents end as v from purchases) select purchase_id, cast(case when v = 0 then l when l = 0 then v when abs(v - l) > 5 then l else v end as double) / 100 as total, v <> 0 and l <> 0 and abs(v - l) > 5 as needs_review from t")
+def vision_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The total of a receipt read twice: the second reading's, but the first's, for review, where they differ by more than 5 cents."""
+    k, first = F.col("purchase_id") % 4, F.col("total_cents")
+    second = F.when(k == 0, F.lit(0)).when(k == 1, first + 5).when(k == 2, first - 6).otherwise(first)
+    apart = (second != 0) & (first != 0) & (F.abs(second - first) > 5)
+    total = F.when(apart | (second == 0), first).otherwise(second)
+    return Model(spark, sf_dir).purchases.select("purchase_id", (total.cast("double") / 100).alias("total"), apart.alias("needs_review"))
+
+
+#: Settings that are never kept, fixed values of the domain.
+SECRET_SETTINGS = ("geminiApiKey", "allowDirectGeminiKey")
+SETTINGS = Fixture("name string, value string", [("geminiModel", "m"), ("geminiApiKey", "k"), ("healthEnabled", "true"), ("allowDirectGeminiKey", "true")])
+
+
+@query("settings_scrub", f"with {SETTINGS.cte('s')} select name, value from s where name not like '%Key'")
+def settings_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings without those that hold keys."""
+    return SETTINGS.df(spark).where(~F.col("name").isin(*SECRET_SETTINGS))
