@@ -378,3 +378,28 @@ SETTINGS = Fixture("name string, value string", [("geminiModel", "m"), ("geminiA
 def settings_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings without those that hold keys."""
     return SETTINGS.df(spark).where(~F.col("name").isin(*SECRET_SETTINGS))
+
+
+# Fixed values of the domain: what stands before a field on a public receipt page, and the field's form.
+PAGE_FIELDS = {
+    "cnpj": r"\bCNPJ\D{0,30}(\d{2}[. ]?\d{3}[. ]?\d{3}[/ ]?\d{4}[- ]?\d{2})",
+    "market": r"(?:Raz[aã]o Social|Nome/Raz[aã]o Social|Emitente|Estabelecimento)\D{0,5}([A-ZÀ-Ú0-9][^|]{3,100}?)\s+(?:CNPJ|CPF|Endere[cç]o|Data|Valor|Total)\b",
+    "date": r"(?:Data(?: de emiss[aã]o)?|Emiss[aã]o)\D{0,12}(\d{2}[/-]\d{2}[/-]\d{2,4})",
+    "time": r"(?:Hora|Hor[aá]rio)\D{0,8}(\d{2}:\d{2}(?::\d{2})?)",
+    "total": r"(?:Valor\s+a\s+pagar|Valor\s+total|Total\s+da\s+nota|Total)\D{0,12}((?:R\$\s*)?[\d.]+,\d{2})",
+    "discount": r"(?:Desconto|Descontos)\D{0,12}((?:R\$\s*)?[\d.]+,\d{2})",
+    "document": r"(?:NFC-e|Nota Fiscal de Consumidor).{0,80}?(?:N[ºo°]?|Número|Numero)\D{0,8}(\d{1,12})",
+    "payment": r"(?:Forma de pagamento|Pagamento|Meio de pagamento)\D{0,20}([A-Za-zÀ-Ú ]{3,40})",
+}
+HEAD_PAGES = Fixture("page_id long, html string", [(-1, "<b>Razão Social:</b> MERCADO BOM LTDA CNPJ: 17.833.301/0022-23 Data de Emissão: 10-09-26 Hora: 14:25:01 <i>Valor total R$ 1.018,00</i> Descontos: 2,50 NFC-e série 1 número 000123 Forma de pagamento: Pix"), (-2, "EMITENTE: Loja Única TOTAL 9,90 horário 08:15"), (-3, None)])
+
+
+@query("html_receipt_header", f"""with {HEAD_PAGES.cte('f')}, p as (select * from f union all select page_id, html from pages), t as (select page_id, {D.html_text('html')} as x from p), e as (select page_id, {', '.join(f"regexp_extract(x, {D.q(p)}, 1, 'i') as {c}" for c, p in PAGE_FIELDS.items())} from t)
+select page_id, {D.digits('cnpj')} as cnpj, trim(market) as market, case when date = '' then '' else (case when length(date) = 8 then '20' || substr(date, 7) else substr(date, 7) end) || '-' || substr(date, 4, 2) || '-' || substr(date, 1, 2) end as date, time, {D.parse_number('total', 'loose')} as total, {D.parse_number('discount', 'loose')} as discount, document, trim(payment) as payment from e""")
+def html_receipt_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header fields of public receipt pages; empty or 0 where a page has none."""
+    pages = HEAD_PAGES.df(spark).unionByName(Model(spark, sf_dir).table("pages").select("page_id", "html"))
+    x = pages.select("page_id", S.html_to_text(F.col("html")).alias("x"))
+    x = x.select("page_id", *(F.regexp_extract("x", "(?iu)" + p, 1).alias(c) for c, p in PAGE_FIELDS.items()))
+    amount = lambda c: S.parse_number(F.col(c), "loose").alias(c)
+    return x.select("page_id", S.digits(F.col("cnpj")).alias("cnpj"), F.trim("market").alias("market"), loose_date(F.col("date")).alias("date"), "time", amount("total"), amount("discount"), "document", F.trim("payment").alias("payment"))

@@ -47,7 +47,7 @@ def test_product_matches(spark):
 
 def test_key_lookup_takes_all_lines(spark, sf_dir):
     codes = {r[0] for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey").distinct().collect()}
-    assert {r["code"] for r in matching.or_key_lookup_all(spark, sf_dir).collect()} == codes
+    assert {r["code"] for r in matching.or_key_lookup(spark, sf_dir).collect()} == codes
     wanted = spark.createDataFrame([(1, "b"), (8, "b"), (8, "a"), (9, None), (None, "b")], "code long, name string")
     products = spark.createDataFrame([(1, "a"), (3, "b"), (2, "b")], "product_id long, name string")
     got = {tuple(r) for r in matching.key_lookup(wanted, products).collect()}
@@ -156,3 +156,35 @@ def test_streamed_counts_replace_what_a_batch_wrote(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts string, event_type string").selectExpr("event_id", "cast(ts as timestamp) as ts", "event_type").write.parquet(f"{tmp_path}/events.parquet")
     got = stream_event_counts(spark, str(tmp_path)).collect()
     assert sum(r["rows"] for r in got) == 40 and len(got) == 6
+
+
+def test_rows_of_public_pages_match_brute_force(spark, sf_dir):
+    import re
+
+    def brute(html):
+        text = re.sub(r"(?is)<script.*?</script>|<style.*?</style>", " ", html or "")
+        text = re.sub(r"<[^>]+>", " ", text)
+        for entity, to in (("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'")):
+            text = re.sub(entity, to, text, flags=re.I)
+        text, out = re.sub(r"\s+", " ", text, flags=re.A).strip(" "), []
+        for part in re.split(r"(?=\b\d{4,14}\b\s+)", text, flags=re.A):
+            code, prices = re.search(r"\b(\d{4,14})\b", part, re.A), re.findall(r"(\d+[.,]\d{2})", part, re.A)
+            if code and prices:
+                name = re.sub(r"\b(?:R\$|C[oó]digo|Qtde?|Quantidade|UN|KG)\b", " ", re.sub(r"\b\d{4,14}\b", "", part, flags=re.A), flags=re.I)
+                name = re.sub(r"\s+", " ", name.strip(" "), flags=re.A)[:120]
+                if len(name) >= 2 and not re.match("(CNPJ|CPF|TOTAL|DESCONTO|PAGAMENTO|EMISS)", name, re.I):
+                    amounts = [float(p.replace(",", ".")) for p in prices]
+                    out.append((code[1], name, amounts[-2] if len(amounts) > 1 else amounts[-1], amounts[-1]))
+        seen = {}
+        for row in out[:200]:
+            seen.setdefault((row[0], row[1], row[3]), row)
+        return sorted(seen.values())
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    pages[-1] = "<p>2707 PAO 8,00</p>" * 3 + "".join(f"<p>{10000 + i} item {i} UN 1,50 {i},25</p>" for i in range(250))
+    frame = spark.createDataFrame([*pages.items(), (-2, None)], "page_id long, html string")
+    got = {}
+    for r in extraction.public_rows(frame).collect():
+        got.setdefault(r["page_id"], []).append((r["code"], r["name"], r["unit_price"], r["total"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: brute(v) for k, v in pages.items() if brute(v)}
+    assert len(got[-1]) == 198
