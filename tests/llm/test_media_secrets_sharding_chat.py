@@ -34,6 +34,39 @@ def test_media_round_trip(spark, sf_dir, tmp_path):
     assert media.op7_mpeg_audio(spark, saved(odd_documents(spark, True), tmp_path)).count() == 0
 
 
+def second_reader(stream):
+    """Payload, samples and checked frames of a stream as the format lays them out, bit by bit and frame by frame."""
+    size = 0
+    for b in stream[6:10]:
+        size = size * 128 + b
+    at, payload, samples, checked = 10 + size, b"", 0, 0
+    while at < len(stream):
+        bits = "".join(f"{b:08b}" for b in stream[at : at + 4])
+        assert bits[:11] == "1" * 11 and bits[11:13] == "10" and bits[13:15] == "01" and bits[15] == "0"  # MPEG-2, layer III, protected
+        kbits, rate, padding = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)[int(bits[16:20], 2)], (22050, 24000, 16000)[int(bits[20:22], 2)], int(bits[22])
+        length = 72 * kbits * 1000 // rate + padding
+        crc = 0xFFFF
+        for bit in "".join(f"{b:08b}" for b in stream[at + 2 : at + 4] + stream[at + 6 : at + 15]):
+            crc = (crc << 1 ^ (0x8005 if (crc >> 15) ^ int(bit) else 0)) & 0xFFFF
+        checked += crc == stream[at + 4] * 256 + stream[at + 5]
+        if stream[at + 15 : at + 19] != b"Info":
+            payload, samples = payload + stream[at + 15 : at + 15 + 576], samples + 576
+        at += length
+    assert at == len(stream)
+    return payload, samples, checked
+
+
+def test_media_streams_by_a_second_reader():
+    for data in (b"", b"a", b"x" * 576, bytes(range(256)) * 30, b"\xff\xf2\xd8\xc0" * 500):
+        stream = media.write_stream(data)
+        payload, samples, checked = second_reader(stream)
+        padded = data.ljust(max(1, -(-len(data) // 576)) * 576, b"\xff")
+        assert payload == padded and samples == len(padded) and checked == len(padded) // 576 + 1
+        found = media.read_stream(stream)
+        assert (found["payload"], found["samples"], found["rate"], found["bad"], found["n_bytes"]) == (padded, samples, 16000, 0, len(data))
+        assert found["table"][1:3] == (len(padded) // 576, len(padded) // 576 * 648 + 648)
+
+
 def test_media_resynchronises_and_checks():
     data = bytes(range(256)) * 9
     stream = media.write_stream(data)
