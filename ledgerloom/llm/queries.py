@@ -8,9 +8,11 @@ from .jaccard import op4_prefix_join
 from .language import language_of_pages, op3_language_fusion
 from .linededup import op2_cuckoo_lines
 from .media import op7_mpeg_audio
+from .merkle import op11_merkle_manifest
 from .packing import op6_genetic_packing
 from .secrets import op9_entropy_secrets
 from .sharding import op10_best_fit_shards
+from .sumsquares import op13_sum_of_squares
 from .tokenfile import op5_huffman_ids
 
 QUERIES = {
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_entropy_secrets": op9_entropy_secrets,
     "op10_best_fit_shards": op10_best_fit_shards,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_sum_of_squares": op13_sum_of_squares,
     "language_of_pages": language_of_pages,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -48,5 +52,34 @@ select conv_id, count(*) as n_turns,
  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
  (sum(n) + 7)::bigint as formatted_chars
 from r group by conv_id
+""",
+    "op11_merkle_manifest": """
+with recursive poly(i, k, c) as (select range, 0, range from range(256) union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from poly where k < 8),
+crc as (select list(c order by i) as t from poly where k = 8),
+f as (select row_number() over () as uid, doc_id, lang, n_chars, text,
+ coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') as head,
+ coalesce(strlen(text) || ':' || text, '-') as tail,
+ xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295) % 7 = 0 as hit
+ from documents, crc),
+l as (select uid, doc_id, coalesce('=' || lang, '') as tree, sha256(head || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || tail) as leaf,
+ sha256(head || coalesce(strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1), '-') || tail) as forged, hit from f),
+n as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf, uid) - 1 as pos from l),
+inner_nodes as (select tree, 0 as lvl, pos, leaf as h from n union all
+ select tree, lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)) from (select *, count(*) over (partition by tree) as many from inner_nodes) where many > 1 group by tree, lvl, pos // 2),
+sub as (select tree, h as subroot, row_number() over (order by tree) - 1 as grp from inner_nodes i where lvl = (select max(lvl) from inner_nodes j where j.tree = i.tree)),
+top_nodes as (select 0 as lvl, grp as pos, subroot as h from sub union all
+ select lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)) from (select *, count(*) over () as many from top_nodes) where many > 1 group by lvl, pos // 2),
+heights as (select tree, max(lvl) as height from inner_nodes group by tree),
+steps as (select n.uid, g.lvl, case when (n.pos >> g.lvl) & 1 = 1 then 'R' else 'L' end || coalesce(i.h, '') as step
+ from n join heights using (tree) join lateral (select range as lvl from range(64)) g on g.lvl < height
+ left join inner_nodes i on i.tree = n.tree and i.lvl = g.lvl and i.pos = xor(n.pos >> g.lvl, 1)
+ union all select n.uid, 64 + g.lvl, case when (sub.grp >> g.lvl) & 1 = 1 then 'R' else 'L' end || coalesce(i.h, '')
+ from n join sub using (tree) join (select range as lvl from range(64)) g on g.lvl < (select max(lvl) from top_nodes)
+ left join top_nodes i on i.lvl = g.lvl and i.pos = xor(sub.grp >> g.lvl, 1)),
+paths as (select uid, list(step order by lvl) as steps, string_agg(step[2:], '' order by lvl) as siblings from steps group by uid),
+root as (select h as root from top_nodes where lvl = (select max(lvl) from top_nodes))
+select doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) as proof_sha256,
+ list_reduce(coalesce(steps, []::varchar[]), lambda h, s: sha256(case when s[1] = 'R' then s[2:] || h else h || s[2:] end), case when hit then forged else leaf end) as folded_root, folded_root = root as verified
+from n join sub using (tree) left join paths using (uid), root
 """,
 }
