@@ -82,7 +82,7 @@ def _bucket(bucket: int):
             con.execute(LEVEL.format(at=at, up=at + 1))
             con.execute(FOLD.format(at=at))
         con.execute(SIBLINGS.format(height=height))
-        root = con.execute("select h from node where level = ?", [height]).fetchone()[0]
+        root = con.execute("select h from node where level = ?", [height]).fetchall()[0][0]
         out = con.sql("select r.tree, r.bucket, r.id, r.leaf, ? as bucket_root, p.inner_proof, f.h as inner_fold from row r join proof p using (pos) join fold f using (pos)", params=[root])
         return out.to_arrow_table().cast(pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in INNER.split(", ")]))
 

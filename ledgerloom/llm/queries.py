@@ -10,6 +10,7 @@ from .linededup import op2_cuckoo_lines
 from .media import op7_mpeg_audio
 from .merkle import op11_merkle_manifest
 from .packing import op6_genetic_packing
+from .search import op12_impact_search
 from .secrets import op9_entropy_secrets
 from .sharding import op10_best_fit_shards
 from .sumsquares import op13_sum_of_squares
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_entropy_secrets": op9_entropy_secrets,
     "op10_best_fit_shards": op10_best_fit_shards,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_impact_search": op12_impact_search,
     "op13_sum_of_squares": op13_sum_of_squares,
     "language_of_pages": language_of_pages,
 }
@@ -81,5 +83,20 @@ root as (select h as root from top_nodes where lvl = (select max(lvl) from top_n
 select doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) as proof_sha256,
  list_reduce(coalesce(steps, []::varchar[]), lambda h, s: sha256(case when s[1] = 'R' then s[2:] || h else h || s[2:] end), case when hit then forged else leaf end) as folded_root, folded_root = root as verified
 from n join sub using (tree) left join paths using (uid), root
+""",
+    "op12_impact_search": """
+with t as (select row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+ from (select row_number() over () as row, doc_id, text from documents)),
+n as (select row, count(*)::bigint as n from t group by row),
+g as (select count(*)::bigint as docs, sum(n)::bigint as terms from n),
+p as (select row, doc_id, term, count(*)::bigint as tf from t group by row, doc_id, term),
+f as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::double))::bigint as w from p, g group by term, docs),
+q as (select item, item_id, term, count(*)::bigint as times from (select item, item_id,
+ unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+ from (select row_number() over () as item, item_id, text from benchmark)) group by item, item_id, term),
+s as (select item, item_id, row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::bigint as score
+ from q join f using (term) join p using (term) join n using (row), g group by item, item_id, row, doc_id)
+select item_id, row_number() over (partition by item order by score desc, doc_id nulls first)::int as rank, doc_id, score from s where score > 0
+qualify rank <= 10
 """,
 }

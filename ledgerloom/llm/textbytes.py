@@ -13,6 +13,8 @@ import pyarrow as pa
 PAD = 16
 LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
 WORD = np.array([i not in b" \t\n\x0b\x0c\r" for i in range(256)], np.uint8)
+#: Bytes of terms: ASCII digits and letters, and all beyond ASCII.
+TERM = np.array([i >= 128 or chr(i).isalnum() for i in range(256)], np.uint8)
 #: Words beyond LONG bytes are hashed one by one.
 STEP, LONG = np.uint64(0x9E3779B97F4A7C15), 64
 MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
@@ -54,11 +56,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (up to ASCII white space, A-Z lower-cased), and where each text's begin and the last's end."""
+def word_counts(column: pa.Array, kind: np.ndarray = WORD) -> np.ndarray:
+    """The number of words of each text."""
+    data, cuts = flat(column)
+    return np.diff(np.searchsorted(stretches(kind[data[:-PAD]], cuts)[0], cuts))
+
+
+def word_hashes(column: pa.Array, kind: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs of bytes of a kind, up to ASCII white space by default; A-Z lower-cased), and where each text's begin and the last's end."""
     data, cuts = flat(column)
     data = LOWER[data]
-    starts, ends = stretches(WORD[data[:-PAD]], cuts)
+    starts, ends = stretches(kind[data[:-PAD]], cuts)
     sizes = ends - starts
     with np.errstate(over="ignore"):
         out = mixed(sizes.astype(np.uint64) * STEP + eight(data, starts, sizes))
