@@ -208,9 +208,9 @@ class Index:
         blocks = -(-(items.agg(F.sum(F.col("n") + OWN)).first()[0] or 0) // block)
         found = self.spark.createDataFrame([], "uid long, item_id long, doc_id long, score long")
         for k in range(blocks):
-            own = Block(items.where(F.pmod(F.xxhash64("uid"), F.lit(blocks)) == k).orderBy("uid").collect())  # bounded by ``block`` in the mean
-            if own.uids:
-                found = found.unionByName(self.ws.table(f"found-{k}", self._block(own, top)))
+            own = items.where(F.pmod(F.xxhash64("uid"), F.lit(blocks)) == k).orderBy("uid").collect()  # bounded by ``block`` in the mean
+            if own:
+                found = found.unionByName(self.ws.table(f"found-{k}", self._block(Block(own), top)))
         by = Window.partitionBy("uid").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
         return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top).select("uid", "item_id", "rank", "doc_id", "score")
 
