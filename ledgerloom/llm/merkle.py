@@ -137,7 +137,7 @@ def small(df: DataFrame, few: int = FEW) -> DataFrame:
 def manifest(spark: SparkSession, docs: DataFrame, bucket: int = BUCKET, few: int = FEW) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of each row."""
     ws = Workspace(spark, "merkle")
-    rows = inner(ws, leaves(docs), bucket)
+    rows = inner(ws, ws.table("hashed", leaves(docs)), bucket)  # texts are read once, ranges are drawn from digests
     buckets = rows.groupBy("tree", F.col("bucket").alias("pos")).agg(F.first("bucket_root").alias("h"))
     outer = combine(ws, buckets, "buckets")
     groups = outer.where("pos = 0").select("tree", F.lit("").alias("all"), F.col("root").alias("h"))
