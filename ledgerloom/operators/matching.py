@@ -1,7 +1,7 @@
 """Entity resolution: products, markets, OCR clusters and vision rows.
 
-Candidates are made by equi-joins on codes and on shared words, never by pairing all rows; names are scored
-once each and joined back. Scores are capped at 1 before candidates are ranked; ties go by product id.
+Candidates are made by equi-joins on codes, on shared words and on letters, never by pairing all rows, and no pair that
+decides anything is lost; distinct names are scored once each and joined back. Scores are capped at 1 before candidates are ranked; ties go by product id.
 The two greedy algorithms depend on the order of a receipt's rows and run once per receipt.
 """
 
@@ -17,6 +17,7 @@ from ..functions import vocabulary as V
 from ..plans import duck as D
 from ..plans.model import Model
 from ..plans.registry import Fixture, query
+from .names import edit_join
 from .scalars import PAIRS_SQL, name_pairs, score4
 
 PRODUCTS = Fixture(
@@ -45,45 +46,93 @@ WANTED = Fixture(
 )
 
 
-def match_candidates(items: DataFrame, products: DataFrame) -> DataFrame:
-    """Pairs of item and product with one code, or with a word of a name or alias in common."""
-    i = items.select("item_id", S.digits(F.col("barcode")).alias("code"), F.explode_outer(S.tokens(F.col("name"))).alias("word"))
-    names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
-    p = products.select("product_id", S.digits(F.col("barcode")).alias("code"), F.explode_outer(F.array_distinct(F.flatten(F.transform(names, S.tokens)))).alias("word"))
-    by_code = i.where("code <> ''").select("item_id", "code").join(p.select("product_id", "code"), "code").select("item_id", "product_id")
-    by_word = i.select("item_id", "word").join(p.select("product_id", "word"), "word").select("item_id", "product_id")
-    return by_code.unionByName(by_word).distinct()
+#: A pair below this score decides nothing: .60 makes a match, and a rival within .08 makes it ambiguous.
+LEAST = 0.52
+#: What equal attributes add to the score of the names, in the order in which they are added.
+BRAND, NEAR_BRAND, PACK, UNIT, CATEGORY = 0.15, 0.08, 0.12, 0.05, 0.03
+SLACK = 1e-9
 
 
-def score_matches(items: DataFrame, products: DataFrame) -> DataFrame:
-    """item_id, product_id, status and score of each candidate pair."""
-    i = items.select("item_id", *(F.col(c).alias(f"i_{c}") for c in ("barcode", "name", "brand", "pack", "unit", "category")))
-    p = products.select("product_id", "aliases", *(F.col(c).alias(f"p_{c}") for c in ("barcode", "name", "brand", "pack", "unit", "category")))
-    x = match_candidates(items, products).join(i, "item_id").join(p, "product_id")
+def match_features(side: DataFrame, id_col: str, names: Column) -> DataFrame:
+    """id, code, name and the normalized attributes that a score compares; ``names`` are all names of a row."""
     n = S.normalize_receipt
-    ib, pb = S.digits(F.col("i_barcode")), S.digits(F.col("p_barcode"))
+    filled = F.filter(names, lambda s: S.blank(s) != "")
+    packed = n(F.when(S.blank(F.col("pack")) != "", F.col("pack")).otherwise(S.parse_pack(F.col("name"))))
+    attributes = {"brand": n(F.col("brand")), "brand_words": S.tokens(F.col("brand")), "pack": packed, "unit": S.canonical_unit(F.col("unit")), "category": n(F.col("category"))}
+    forms = F.transform(filled, lambda s: F.struct(n(s).alias("name"), S.tokens(s).alias("words")))
+    return side.select(F.col(id_col).alias("id"), S.digits(F.col("barcode")).alias("code"), n(F.col("name")).alias("own"), forms.alias("forms"), *(c.alias(k) for k, c in attributes.items()))
+
+
+def attribute_rules(a: str, b: str) -> list[tuple[Column, float]]:
+    """Conditions on two rows of features, and what each adds."""
+    pair = lambda c: (F.col(f"{a}.{c}"), F.col(f"{b}.{c}"))
+    equal = lambda c: (pair(c)[0] != "") & (pair(c)[0] == pair(c)[1])
+    near = (pair("brand")[0] != "") & (pair("brand")[1] != "") & (pair("brand")[0] != pair("brand")[1]) & (S.jaccard(*pair("brand_words")) >= 0.8)
+    return [(equal("brand"), BRAND), (near, NEAR_BRAND), (equal("pack"), PACK), (equal("unit"), UNIT), (equal("category"), CATEGORY)]
+
+
+def added(start: Column, rules: list[tuple[Column, float]]) -> Column:
+    for rule, more in rules:
+        start = start + F.when(rule, more).otherwise(0.0)
+    return start
+
+
+def by_shared_word(items: DataFrame, products: DataFrame, least: float) -> DataFrame:
+    """Pairs with a word in common whose score can reach ``least``: the words' part is exact, the letters' at most the lengths' ratio.
+
+    A pair of names meets at each common word and is kept at the first, within the join's condition.
+    """
+    of = lambda f: f.withColumn("form", F.explode("forms")).withColumn("word", F.explode("form.words"))
+    i, p = of(items).alias("i"), of(products).alias("p")
+    first = F.get(F.array_intersect("i.form.words", "p.form.words"), F.lit(0)) == F.col("i.word")
+    li, lp = F.length("i.form.name"), F.length("p.form.name")
+    most = 0.65 * S.jaccard(F.col("i.form.words"), F.col("p.form.words")) + 0.35 * F.least(li, lp) / F.greatest(li, lp)
+    can = added(most, attribute_rules("i", "p")) >= least - SLACK
+    return i.join(p, (F.col("i.word") == F.col("p.word")) & first & can).select(F.col("i.id").alias("item_id"), F.col("p.id").alias("product_id"))
+
+
+def by_letters(items: DataFrame, products: DataFrame, least: float) -> DataFrame:
+    """Pairs that can reach ``least`` without a word in common: equal attributes make up for it, so only rows with equal ones are joined."""
+    blocks = [(("brand", "pack", "unit", "category"), BRAND + PACK + UNIT + CATEGORY), (("brand", "pack"), BRAND + PACK + UNIT), (("brand",), BRAND + UNIT + CATEGORY), (("pack",), NEAR_BRAND + PACK + UNIT + CATEGORY)]
+    made = []
+    for at, (keys, most) in enumerate(blocks):
+        theta = (least - most) / 0.35
+        if theta <= 1:
+            full = F.array_size(F.filter(F.array(*keys), lambda x: x != "")) == len(keys)
+            made.append(F.when(full, F.struct(F.concat_ws("|", F.lit(str(at)), *keys).alias("block"), F.lit(max(theta, SLACK)).alias("theta"))))
+    if not made:
+        return items.select(F.col("id").alias("item_id"), F.col("id").alias("product_id")).where(F.lit(False))
+    split = lambda f: f.withColumn("name", F.explode("forms.name")).withColumn("b", F.explode(F.array_compact(F.array(*made)))).select("id", "name", "b.block", "b.theta")
+    return edit_join(split(items), split(products)).toDF("item_id", "product_id")
+
+
+def match_candidates(items: DataFrame, products: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs of features with one code, and all pairs whose score reaches ``least`` (some that don't are among them)."""
+    code = lambda f, name: f.where("code <> ''").select(F.col("id").alias(name), "code")
+    by_code = code(items, "item_id").join(code(products, "product_id"), "code").select("item_id", "product_id")
+    return by_code.unionByName(by_shared_word(items, products, least)).unionByName(by_letters(items, products, least)).distinct()
+
+
+def score_matches(items: DataFrame, products: DataFrame, least: float = LEAST) -> DataFrame:
+    """item_id, product_id, status and score of each pair with one code or a score of ``least`` or more; no such pair is missing."""
+    a = match_features(items, "item_id", F.array("name"))
+    b = match_features(products, "product_id", F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    x = match_candidates(a, b, least).join(a.alias("i"), F.col("item_id") == F.col("i.id")).join(b.alias("p"), F.col("product_id") == F.col("p.id"))
+    ib, pb = F.col("i.code"), F.col("p.code")
     both = (ib != "") & (pb != "")
     variant = F.lit(False)
     for v in V.VARIANTS:
-        variant = variant | (n(F.col("i_name")).contains(v) != n(F.col("p_name")).contains(v))
-    names = F.filter(F.concat(F.array("p_name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda s: S.blank(s) != "")
-    best = F.coalesce(F.array_max(F.transform(names, lambda s: 0.65 * S.jaccard(S.tokens(F.col("i_name")), S.tokens(s)) + 0.35 * S.edit_similarity(n(F.col("i_name")), n(s)))), F.lit(0.0))
-    x = x.withColumn("best", best)
-    ibrand, pbrand = n(F.col("i_brand")), n(F.col("p_brand"))
-    brands = (ibrand != "") & (pbrand != "")
-    same_brand = brands & (ibrand == pbrand)
-    near_brand = brands & ~same_brand & (S.jaccard(S.tokens(F.col("i_brand")), S.tokens(F.col("p_brand"))) >= 0.8)
-    packed = lambda side: n(F.when(S.blank(F.col(f"{side}_pack")) != "", F.col(f"{side}_pack")).otherwise(S.parse_pack(F.col(f"{side}_name"))))
-    equal = lambda a, b: (a != "") & (a == b)
-    extras = [(same_brand, 0.15), (near_brand, 0.08), (equal(packed("i"), packed("p")), 0.12), (equal(S.canonical_unit(F.col("i_unit")), S.canonical_unit(F.col("p_unit"))), 0.05), (equal(n(F.col("i_category")), n(F.col("p_category"))), 0.03)]
-    raw, reasons = F.col("best"), F.when(F.col("best") >= 0.55, 1).otherwise(0)
-    for rule, more in extras:
-        raw, reasons = raw + F.when(rule, more).otherwise(0.0), reasons + F.when(rule, 1).otherwise(0)
-    x = x.withColumn("raw", raw).withColumn("reasons", reasons).withColumn("kind", F.when(both & (ib != pb), "CONFLICT").when(both & variant, "REVIEW").when(both, "EXACT"))
+        variant = variant | (F.col("i.own").contains(v) != F.col("p.own").contains(v))
+    one = F.get("i.forms", F.lit(0))
+    best = F.coalesce(F.array_max(F.transform("p.forms", lambda s: 0.65 * S.jaccard(one["words"], s["words"]) + 0.35 * S.edit_similarity(one["name"], s["name"]))), F.lit(0.0))
+    rules = attribute_rules("i", "p")
+    x = x.withColumn("best", best).withColumn("raw", added(F.col("best"), rules))
+    x = x.withColumn("reasons", sum((F.when(rule, 1).otherwise(0) for rule, _ in rules), F.when(F.col("best") >= 0.55, 1).otherwise(0)))
+    x = x.withColumn("kind", F.when(both & (ib != pb), "CONFLICT").when(both & variant, "REVIEW").when(both, "EXACT"))
     firm = F.col("reasons") >= 2
     status = F.when((F.col("raw") >= 0.9) & firm, "STRONG").when((F.col("raw") >= 0.78) & firm, "REVIEW").when(F.col("raw") >= 0.6, "WEAK").otherwise("NEW")
     score = F.when(F.col("kind") == "CONFLICT", 0.0).when(F.col("kind") == "REVIEW", 0.89).when(F.col("kind") == "EXACT", 1.0).otherwise(F.least(F.lit(1.0), F.col("raw")))
-    return x.select("item_id", "product_id", F.coalesce("kind", status).alias("status"), score.alias("score"))
+    return x.where((both & (ib == pb)) | (F.col("raw") >= least)).select("item_id", "product_id", F.coalesce("kind", status).alias("status"), score.alias("score"))
 
 
 def _score_sql() -> str:
@@ -93,19 +142,45 @@ def _score_sql() -> str:
     return f"""sa as (select i.item_id, p.product_id, {D.digits('i.barcode')} as ib, {D.digits('p.barcode')} as pb, ({variant}) as variant, {D.tokens('i.name')} as ti, {D.norm_receipt('i.name')} as si,
  [z for z in list_concat([p.name], coalesce(p.aliases, [])) if coalesce(z, '') <> ''] as names, {D.norm_receipt('i.brand')} as br, {D.norm_receipt('p.brand')} as pr, {D.tokens('i.brand')} as bt, {D.tokens('p.brand')} as pt,
  {pk('i')} as ipk, {pk('p')} as ppk, {D.unit('i.unit')} as iu, {D.unit('p.unit')} as pu, {D.norm_receipt('i.category')} as ic, {D.norm_receipt('p.category')} as pc from i, p),
-sb as (select *, ib <> '' and pb <> '' as coded, coalesce({best}, 0.0)::double as best, len(list_intersect(ti, list_distinct(flatten([{D.tokens('w')} for w in names])))) as shared, br <> '' and br = pr as same_brand, br <> '' and pr <> '' and br <> pr and ({D.jaccard('bt', 'pt')}) >= 0.8 as near_brand from sa),
+sb as (select *, ib <> '' and pb <> '' as coded, coalesce({best}, 0.0)::double as best, br <> '' and br = pr as same_brand, br <> '' and pr <> '' and br <> pr and ({D.jaccard('bt', 'pt')}) >= 0.8 as near_brand from sa),
 sc as (select *, best + case when same_brand then 0.15::double else 0 end + case when near_brand then 0.08::double else 0 end + case when ipk <> '' and ipk = ppk then 0.12::double else 0 end + case when iu <> '' and iu = pu then 0.05::double else 0 end + case when ic <> '' and ic = pc then 0.03::double else 0 end as raw,
- (best >= 0.55)::int + same_brand::int + near_brand::int + (ipk <> '' and ipk = ppk)::int + (iu <> '' and iu = pu)::int + (ic <> '' and ic = pc)::int as reasons from sb where (coded and ib = pb) or shared > 0),
+ (best >= 0.55)::int + same_brand::int + near_brand::int + (ipk <> '' and ipk = ppk)::int + (iu <> '' and iu = pu)::int + (ic <> '' and ic = pc)::int as reasons from sb),
 scored as (select item_id, product_id, case when coded and ib <> pb then 'CONFLICT' when coded and variant then 'REVIEW' when coded then 'EXACT' when raw >= 0.9 and reasons >= 2 then 'STRONG' when raw >= 0.78 and reasons >= 2 then 'REVIEW' when raw >= 0.6 then 'WEAK' else 'NEW' end as status,
- case when coded and ib <> pb then 0.0 when coded and variant then 0.89 when coded then 1.0 else least(1.0::double, raw) end::double as score from sc)"""
+ case when coded and ib <> pb then 0.0 when coded and variant then 0.89 when coded then 1.0 else least(1.0::double, raw) end::double as score from sc where (coded and ib = pb) or raw >= {LEAST}::double)"""
+
+
+#: One product for each distinct name of the part table, and items that misread it: all vowels double (no word is left), letters as
+#: digits, cut, or as it is. The statements run in both engines.
+CATALOG = "select min(p_partkey) as k, p_name as name, min(p_brand) as brand, min(p_type) as category from part group by p_name"
+CATALOG_PRODUCTS = "select 'k' || k as product_id, case when k % 5 = 0 then '788' || k end as barcode, name, null as aliases, brand, case when k % 2 = 0 then '2 l' end as pack, 'un' as unit, category from base"
+MISREAD_ITEMS = " union all ".join(
+    f"select 'k' || k || '-{i}' as item_id, {code} as barcode, {name} as name, {brand} as brand, {pack} as pack, 'un' as unit, {category} as category from base"
+    for i, (code, name, brand, pack, category) in enumerate([
+        ("null", "name", "null", "null", "null"),
+        ("null", "replace(replace(replace(replace(replace(name, 'a', 'aa'), 'e', 'ee'), 'i', 'ii'), 'o', 'oo'), 'u', 'uu')", "brand", "'2 l'", "category"),
+        ("null", "translate(name, 'lis', '1l5')", "brand", "null", "null"),
+        ("case when k % 5 = 0 then '788' || k else '777' end", "upper(substr(name, 3))", "null", "'2 l'", "category"),
+    ])
+)
+
 
+def match_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Items and products of the fixtures and of the part table."""
+    base = f"with base as ({CATALOG.replace('from part', 'from {part}')}) "
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    items, products = spark.sql(base + MISREAD_ITEMS, part=part), spark.sql(base + CATALOG_PRODUCTS, part=part)
+    as_is = lambda df, like: df.select(*(F.col(f.name).cast(f.dataType) for f in like.schema))
+    i, p = WANTED.df(spark), PRODUCTS.df(spark)
+    return i.unionByName(as_is(items, i)), p.unionByName(as_is(products, p))
 
-SCORES = f"with {WANTED.cte('i')}, {PRODUCTS.cte('p')}, {_score_sql()}"
+
+SCORES = f"with {WANTED.cte('wi')}, {PRODUCTS.cte('wp')}, base as ({CATALOG}), i as (select * from wi union all ({MISREAD_ITEMS})), p as (select * from wp union all ({CATALOG_PRODUCTS})), {_score_sql()}"
 
 
 @query("product_match_scores", f"{SCORES} select item_id, product_id, status, {D.score4('score')} as score from scored")
 def product_match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_matches(WANTED.df(spark), PRODUCTS.df(spark)).select("item_id", "product_id", "status", score4(F.col("score")).alias("score"))
+    """All pairs with one code or a score of .52 or more."""
+    return score_matches(*match_inputs(spark, sf_dir)).select("item_id", "product_id", "status", score4(F.col("score")).alias("score"))
 
 
 def decide_matches(items: DataFrame, products: DataFrame) -> DataFrame:
@@ -122,15 +197,18 @@ def decide_matches(items: DataFrame, products: DataFrame) -> DataFrame:
 tp as (select i.item_id, coalesce(status <> 'EXACT' and nx is not null and score >= 0.6 and score - nx < 0.08, false) as ambiguous, status, score, product_id from i left join (select * from rk where r = 1) using (item_id))
 select item_id, case when ambiguous then 'AMBIGUOUS' else coalesce(status, 'NEW') end as status, ambiguous, {D.score4('coalesce(score, 0.0)')} as score, case when not ambiguous and status in ('EXACT', 'STRONG') then product_id end as product_id from tp""")
 def product_match_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide_matches(WANTED.df(spark), PRODUCTS.df(spark))
+    return decide_matches(*match_inputs(spark, sf_dir))
 
 
-@query("product_name_neighbours", f"with {PAIRS_SQL}, s as (select a, b, 0.65::double * ({D.jaccard('ta', 'tb')}) + 0.35::double * ({D.edit('sa', 'sb')}) as score from pairs), o as (select a, b, score from s union all select b, a, score from s), r as (select *, row_number() over (partition by a order by floor(score * 10000 + 0.5) desc, b) as r from o) select a as name, b as neighbour, {D.score4('score')} as score from r where r <= 5")
+@query("product_name_neighbours", f"with {PAIRS_SQL}, s as (select * from (select a, b, 0.65::double * ({D.jaccard('ta', 'tb')}) + 0.35::double * ({D.edit('sa', 'sb')}) as score from pairs) where score > 0.35::double), o as (select a, b, score from s union all select b, a, score from s), r as (select *, row_number() over (partition by a order by floor(score * 10000 + 0.5) desc, b) as r from o) select a as name, b as neighbour, {D.score4('score')} as score from r where r <= 5")
 def product_name_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest names of each product name (five is how many candidates a decision shows)."""
+    """The five nearest names of each product name (five is how many candidates a decision shows), of those that score above .35.
+
+    Names without a word in common reach .35 at most, so the join on words finds all of them.
+    """
     x = name_pairs(spark, sf_dir)
     s = 0.65 * S.jaccard(S.tokens(F.col("a")), S.tokens(F.col("b"))) + 0.35 * S.edit_similarity(S.normalize_receipt(F.col("a")), S.normalize_receipt(F.col("b")))
-    one = x.withColumn("score", score4(s))
+    one = x.withColumn("exact", s).where("exact > 0.35D").select("a", "b", score4(F.col("exact")).alias("score"))
     both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     return both.withColumn("r", F.row_number().over(w)).where("r <= 5").select(F.col("a").alias("name"), F.col("b").alias("neighbour"), "score")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..plans import duck as D
 from ..plans.registry import Fixture, query
+from .names import edit_join
 
 KEY, QR_KEY = "35160917833301002223650010003839831012345676", "35260444823938000187551090000002691092067649"
 
@@ -72,17 +73,27 @@ def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.alias("a").join(words.alias("b"), "word").where("a.name < b.name").select(F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
 
 
-PAIRS_SQL = f"n as (select distinct p_name as name, {D.tokens('p_name')} as t, {D.norm_receipt('p_name')} as s from part), pairs as (select a.name as a, b.name as b, a.t as ta, b.t as tb, a.s as sa, b.s as sb from n a, n b where a.name < b.name and len(list_intersect(a.t, b.t)) > 0)"
+PAIRS_SQL = f"n as (select distinct p_name as name, {D.tokens('p_name')} as t, {D.norm_receipt('p_name')} as s from part), pairs as (select a.name as a, b.name as b, a.t as ta, b.t as tb, a.s as sa, b.s as sb from n a, n b where a.name < b.name)"
 
 
-@query("jaccard_pairs", f"with {PAIRS_SQL} select a, b, {D.score4(D.jaccard('ta', 'tb'))} as score from pairs")
+@query("jaccard_pairs", f"with {PAIRS_SQL} select a, b, {D.score4(D.jaccard('ta', 'tb'))} as score from pairs where {D.jaccard('ta', 'tb')} > 0")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of names whose words have a Jaccard similarity above 0."""
     return name_pairs(spark, sf_dir).select("a", "b", score4(S.jaccard(S.tokens(F.col("a")), S.tokens(F.col("b")))).alias("score"))
 
 
-@query("edit_similarity", f"with {PAIRS_SQL} select a, b, {D.score4(D.edit('sa', 'sb'))} as score from pairs")
+#: Names of products, as they are and as receipts misread them.
+MISREAD = "select p_name as name from part union select replace(p_name, 'e', 'ee') from part union select translate(p_name, 'lis', '1l5') from part union select substr(p_name, 2) from part union select p_name || ' 2l' from part"
+SIMILAR = 0.6
+
+
+@query("edit_similarity", f"with n as (select distinct name, {D.norm_receipt('name')} as s from ({MISREAD})), p as (select a.name as a, b.name as b, {D.edit('a.s', 'b.s')} as score from n a, n b where a.name < b.name) select a, b, {D.score4('score')} as score from p where score >= {SIMILAR}::double")
 def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_pairs(spark, sf_dir).select("a", "b", score4(S.edit_similarity(S.normalize_receipt(F.col("a")), S.normalize_receipt(F.col("b")))).alias("score"))
+    """All pairs of names, product names and misread ones, with an edit similarity of .6 or more."""
+    names = spark.sql(MISREAD.replace("from part", "from {part}"), part=read(spark, sf_dir, "part")).select(F.col("name").alias("id"), S.normalize_receipt(F.col("name")).alias("name"))
+    pairs = edit_join(*2 * [names.select("id", "name", F.lit("").alias("block"), F.lit(SIMILAR).alias("theta"))]).where("left_id < right_id")
+    score = S.edit_similarity(S.normalize_receipt(F.col("left_id")), S.normalize_receipt(F.col("right_id")))
+    return pairs.withColumn("score", score).where(f"score >= {SIMILAR}D").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), score4(F.col("score")).alias("score"))
 
 
 UNITS = Fixture("id long, s string", [(i, s) for i, s in enumerate(["UND", "Unidades", "KG", "quilo", "Lt", "litros", "ml", "CX", "dúzia", "rolo", "", None, "pct", "Fardos"])])
