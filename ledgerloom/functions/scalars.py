@@ -26,6 +26,11 @@ def blank(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def once(c: Column) -> Column:
+    """A generator of the value as the only row, so that Catalyst doesn't compute it anew for each of its uses."""
+    return F.explode(F.array(c))
+
+
 def unaccented(c: Column) -> Column:
     """Lower case without accents; decomposed accents are dropped too."""
     return F.translate(F.regexp_replace(F.lower(blank(c)), "[̀-ͯ]", ""), ACCENTED, PLAIN)

@@ -82,3 +82,23 @@ FISCAL_HOSTS = r"(^|\.)(fazenda\.rj\.gov\.br|sefaz\.br|sefaz\.gov\.br|gov\.br|se
 PRIVATE_HOSTS = r"^(localhost$|127\.|::1$|10\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"
 MARKET_WORDS = "supermercad|supermarket|mercado|atakarejo|atacarejo|hortifruti|sacol[aã]o|minimercado|mini mercado"
 NOT_MARKETS = r"mercados\s*&\s*padarias|mercados em saquarema|lista de mercados|saquaremaonline"
+
+#: Fixed names of the fiscal JSON formats: where a body's content stands, and the names of its fields, in order.
+JSON_ROOTS = ("data", "result", "invoice", "document")
+JSON_FIELDS = {
+    "market": ("name", "issuerName", "razaoSocial", "nome", "emitente", "xNome"),
+    "cnpj": ("cnpj", "issuerCnpj", "emitenteCnpj"),
+    "date": ("date", "issueDate", "dataEmissao", "dhEmi"),
+    "time": ("time", "hora"),
+    "total": ("total", "grandTotal", "valorTotal", "vNF", "invoiceTotal", "amount"),
+    "items": ("items", "products", "itens", "det"),
+}
+JSON_ITEM = {
+    "code": ("barcode", "ean", "cEAN", "codigo", "cProd"),
+    "name": ("name", "description", "xProd", "produto"),
+    "quantity": ("quantity", "qty", "qCom", "qtd"),
+    "unit": ("unit", "uCom", "unidade"),
+    "unit_price": ("unitPrice", "vUnCom", "precoUnitario"),
+    "total": ("total", "vProd", "valor", "lineTotal"),
+    "discount": ("discount", "vDesc", "desconto"),
+}

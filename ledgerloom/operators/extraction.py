@@ -1,4 +1,4 @@
-"""Text to structure: receipt text, fiscal XML and JSON, public pages, list imports.
+"""Text to structure: receipt text, public pages, list imports.
 
 Receipt text becomes a table of lines; look-ahead is an array slice of the next lines within the document, so a
 document never meets another in a window.
@@ -238,87 +238,6 @@ def html_market_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("r") <= MARKET_ROWS).select("page_id", "key", "name")
 
 
-XML_1 = "<nfeProc><ide><dhEmi>2026-09-10T14:25:10-03:00</dhEmi></ide><emit><CNPJ>17833301002223</CNPJ><xNome>LOJA &amp; CIA</xNome></emit><det nItem='1'><prod><cEAN>7891</cEAN><xProd>Leite</xProd><qCom>2,0</qCom><uCom>UN</uCom><vUnCom>10.00</vUnCom><vProd>20.29</vProd><vDesc>2.00</vDesc></prod></det><det nItem='2'><prod><cEAN>SEM GTIN</cEAN><xProd>Pão</xProd><qCom>1</qCom><vUnCom>20</vUnCom><vProd>20.00</vProd></prod></det><total><ICMSTot><vNF>38.29</vNF></ICMSTot></total></nfeProc>"
-XML_2 = "<NFe><ide><dEmi>2025-01-02</dEmi><hEmi>08:09:10</hEmi></ide><emit><CNPJ>09.653.290/0001-47</CNPJ><xFant>P&#227;o &amp;amp; C&#xed;a</xFant></emit><det><prod><cBarra>789 5</cBarra><xProd>Caf&#xE9; &lt;forte&gt;</xProd><qCom>1</qCom><vUnCom>9,5</vUnCom><vProd>9,5</vProd></prod></det><ICMSTot><vNF>9,50</vNF></ICMSTot></NFe>"
-XMLS = Fixture("doc_id long, xml string", [(1, XML_1), (2, "<nfeProc></nfeProc>"), (3, None), (4, "not xml"), (5, XML_2)])
-
-
-def tag(scope: Column, name: str) -> Column:
-    """The text of the first element of that name, entities decoded; empty if there is none."""
-    s = F.trim(F.regexp_extract(S.blank(scope), rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1))
-    for entity, to in (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(entity), F.lit(to))
-    # numbered characters: what lies between them and the characters take turns
-    number = F.regexp_extract_all(s, F.lit("(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"), 1)
-    code = lambda x: F.when(F.lower(x).startswith("x"), F.conv(F.substring(x, 2, 6), 16, 10)).otherwise(x).cast("int")
-    letter = lambda x: F.decode(F.unhex(F.lpad(F.hex(code(x)), 8, "0")), "UTF-32")
-    between = F.split(s, "(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});")
-    return F.when(F.size(number) == 0, s).otherwise(F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(letter(F.get(number, i)), F.lit("")))), ""))
-
-
-def either_tag(scope: Column, first: str, second: str) -> Column:
-    return F.when(tag(scope, first) != "", tag(scope, first)).otherwise(tag(scope, second))
-
-
-def xml_number(scope: Column, name: str) -> Column:
-    return F.coalesce(F.replace(tag(scope, name), F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0))
-
-
-@query("fiscal_xml_items", _expected("doc_id long, n long, code string, name string, quantity double, unit string, unit_price double, total double, discount double", [(1, 1, "7891", "Leite", 2.0, "UN", 10.0, 20.29, 2.0), (1, 2, "", "Pão", 1.0, "un", 20.0, 20.0, 0.0), (5, 1, "7895", "Café <forte>", 1.0, "un", 9.5, 9.5, 0.0)]))
-def fiscal_xml_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = XMLS.df(spark).select("doc_id", F.posexplode(F.regexp_extract_all(S.blank(F.col("xml")), F.lit(r"(?is)<det(?:\s[^>]*)?>(.*?)</det>"), 1)).alias("at", "d"))
-    d = F.col("d")
-    out = rows.select("doc_id", (F.col("at") + 1).cast("long").alias("n"), S.digits(either_tag(d, "cEAN", "cBarra")).alias("code"), tag(d, "xProd").alias("name"), xml_number(d, "qCom").alias("quantity"), F.when(tag(d, "uCom") == "", "un").otherwise(tag(d, "uCom")).alias("unit"), xml_number(d, "vUnCom").alias("unit_price"), xml_number(d, "vProd").alias("total"), xml_number(d, "vDesc").alias("discount"))
-    return out.where("name <> '' or total <> 0")
-
-
-@query("fiscal_xml_header", _expected("doc_id long, market string, cnpj string, date string, time string, total double", [(1, "LOJA & CIA", "17833301002223", "2026-09-10", "14:25:10", 38.29), (2, "", "", "", "", 0.0), (3, "", "", "", "", 0.0), (4, "", "", "", "", 0.0), (5, "Pão & Cía", "09653290000147", "2025-01-02", "08:09:10", 9.5)]))
-def fiscal_xml_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names, dates and times have a second element to fall back to."""
-    x = F.col("xml")
-    ide, emit = tag(x, "ide"), tag(x, "emit")
-    moment = tag(ide, "dhEmi")
-    time = F.when(moment != "", F.substring(moment, 12, 8)).otherwise(tag(ide, "hEmi"))
-    return XMLS.df(spark).select("doc_id", either_tag(emit, "xNome", "xFant").alias("market"), S.digits(tag(emit, "CNPJ")).alias("cnpj"), F.substring(either_tag(ide, "dhEmi", "dEmi"), 1, 10).alias("date"), time.alias("time"), xml_number(tag(x, "ICMSTot"), "vNF").alias("total"))
-
-
-@query("enrich_from_xml", _expected("doc_id long, market string, cnpj string, date string, time string, total double", [(1, "LOJA & CIA", "17833301002223", "2026-09-10", "14:25:10", 38.29), (2, "Outra", "", "", "", 5.0), (3, "", "", "", "", 0.0), (4, "", "", "", "", 0.0), (5, "Pão & Cía", "09653290000147", "2025-01-02", "08:09:10", 9.5)]))
-def enrich_from_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the XML of a document says goes before what its JSON says."""
-    old = fiscal_json_normalize(spark, sf_dir).drop("items")
-    new = fiscal_xml_header(spark, sf_dir).withColumnsRenamed({c: f"x_{c}" for c in ("market", "cnpj", "date", "time", "total")})
-    pick = lambda c, none: F.when(F.col(f"x_{c}") != none, F.col(f"x_{c}")).otherwise(F.col(c)).alias(c)
-    return old.join(new, "doc_id").select("doc_id", *(pick(c, "") for c in ("market", "cnpj", "date", "time")), pick("total", 0.0))
-
-
-JSONS = Fixture("doc_id long, body string", [(1, '{"data":{"emitente":"Loja Boa","cnpj":"17.833.301/0022-23","dhEmi":"2026-09-10T14:25:10","valorTotal":"38.29","itens":[{"xProd":"Leite","qCom":2,"vProd":20.29,"cEAN":"7891"},{"xProd":"","vProd":0}]}}'), (2, '{"name":"Outra","total":5,"items":[{"name":"Pão","quantity":1,"total":5}]}'), (3, "not json"), (4, None), (5, '{"ok":true,"a":{"name":"","b":[{"emit":{"CNPJ":"09653290000147","xNome":"Loja \\"Funda\\""}},{"note":"\\"total\\": 7","ICMSTot":{"vNF":9.5}}],"c":{"det":{"xProd":"Caf\\u00e9","vProd":9.5}}},"dataEmissao":"2025-01-02","hora":"08:09:10.5"}')])
-
-
-def alias_value(body: Column, *names: str) -> Column:
-    """The first scalar, in the order of the text and however deep, that one of the names has and that isn't empty."""
-    found = F.regexp_extract(S.blank(body), r'(?is)(?<!\\)"(?:' + "|".join(names) + r')"\s*:\s*("(?:[^"\\]|\\.)+"|-?[0-9][-+.0-9e]*|true|false)', 1)
-    # a JSON string is decoded as the only element of an array
-    return F.when(found.startswith('"'), F.get(F.from_json(F.concat(F.lit("["), found, F.lit("]")), "array<string>"), 0)).otherwise(found)
-
-
-def alias_rows(body: Column, *names: str) -> Column:
-    """The objects of the first array, or the first object, that one of the names has."""
-    rest = F.regexp_extract(S.blank(body), r'(?is)(?<!\\)"(?:' + "|".join(names) + r')"\s*:\s*([\[{].*)$', 1)
-    one = F.from_json(rest, "map<string,string>")
-    return F.coalesce(F.when(rest.startswith("["), F.from_json(rest, "array<map<string,string>>")).when(rest != "", F.array(one)), F.array().cast("array<map<string,string>>"))
-
-
-@query("fiscal_json_normalize", _expected("doc_id long, market string, cnpj string, date string, time string, total double, items long", [(1, "Loja Boa", "17833301002223", "2026-09-10", "14:25:10", 38.29, 1), (2, "Outra", "", "", "", 5.0, 1), (3, "", "", "", "", 0.0, 0), (4, "", "", "", "", 0.0, 0), (5, 'Loja "Funda"', "09653290000147", "2025-01-02", "08:09:10", 9.5, 1)]))
-def fiscal_json_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known aliases at any depth; rows count if they have a name or a total."""
-    body = F.when(F.try_parse_json("body").isNotNull(), F.col("body"))
-    date = alias_value(body, "date", "issueDate", "dataEmissao", "dhEmi")
-    item = lambda m, *keys: F.coalesce(*(F.element_at(m, k) for k in keys), F.lit(""))
-    kept = F.filter(alias_rows(body, "items", "products", "itens", "det"), lambda m: (item(m, "name", "description", "xProd", "produto") != "") | (F.coalesce(item(m, "total", "vProd", "valor", "lineTotal").try_cast("double"), F.lit(0.0)) != 0))
-    time = F.when(date.contains("T"), F.substring(date, 12, 8)).otherwise(F.substring(alias_value(body, "time", "hora"), 1, 8))
-    return JSONS.df(spark).select("doc_id", alias_value(body, "name", "issuerName", "razaoSocial", "nome", "emitente", "xNome").alias("market"), S.digits(alias_value(body, "cnpj", "issuerCnpj", "emitenteCnpj")).alias("cnpj"), F.substring(date, 1, 10).alias("date"), time.alias("time"), F.coalesce(alias_value(body, "total", "grandTotal", "valorTotal", "vNF", "invoiceTotal", "amount").try_cast("double"), F.lit(0.0)).alias("total"), F.size(kept).cast("long").alias("items"))
-
-
 IMPORTS = Fixture("row long, code string, name string, brand string, quantity string", [(1, "100", "qualquer", "Marca X", "2,5"), (2, None, "Pão de Forma", "Panco", None), (3, None, "Produto Novo", None, "0"), (4, "999", "pao de forma", None, "1")])
 CATALOG = Fixture("product_id string, code string, name string, brand string", [("p1", "100", "Arroz", None), ("p2", None, "Pão de Forma", "Wickbold"), ("p3", None, "pao de forma", None)])
 
