@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import analytics, audit, extraction, fiscal, lifecycle, matching, receipts, scalars  # noqa: F401  they register their queries
+from .operators import analytics, audit, extraction, fiscal, lifecycle, matching, receipts, scalars, storage  # noqa: F401  they register their queries
 from .plans.registry import ORACLES, QUERIES
 from .sources import queries as _sources  # noqa: F401
 from .streaming import audit_log  # noqa: F401

@@ -1,4 +1,4 @@
-"""Data lifecycle: upserts, protected dates, recomputation, migrations, lists, trips and question routing."""
+"""Data lifecycle: upserts, recomputation, migrations, lists, trips and question routing."""
 
 from __future__ import annotations
 
@@ -28,18 +28,6 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "user_id", "at").drop("at")
 
 
-EDITS = Fixture("purchase_id long, new_date string, total_cents long", [(1, "1999-01-01", 100), (2, None, 200), (999999999, "2020-02-02", 300)])
-
-
-@query("date_protection", W + f", {EDITS.cte('e')} select purchase_id, coalesce(p.purchase_date, cast(new_date as date)) as purchase_date, e.total_cents, p.purchase_id is not null and new_date is distinct from cast(p.purchase_date as varchar) as blocked from e left join purchases p using (purchase_id)")
-def date_protection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The date of a stored purchase wins over an edit's; a try to change it is marked for the audit log."""
-    old = Model(spark, sf_dir).purchases.select("purchase_id", "purchase_date")
-    x = EDITS.df(spark).withColumn("d", F.col("new_date").cast("date")).join(old, "purchase_id", "left")
-    blocked = F.col("purchase_date").isNotNull() & ~F.col("d").eqNullSafe(F.col("purchase_date"))
-    return x.select("purchase_id", F.coalesce("purchase_date", "d").alias("purchase_date"), "total_cents", blocked.alias("blocked"))
-
-
 @query("recompute_lines", W + "select purchase_id, line_number, product_id, cast(floor(quantity * (cast(unit_price_e4 as double) / 10000) * 100 + 0.5) as double) / 100 as line_total, cast(floor(quantity * (cast(unit_price_e4 as double) / 10000) * 100 - discount_cents + 0.5) as double) / 100 as net from items")
 def recompute_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     gross = F.col("quantity") * (F.col("unit_price_e4").cast("double") / 10000) * 100
@@ -99,12 +87,6 @@ def route_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUESTIONS.df(spark).unionByName(asked).select("conv_id", "turn", route.alias("route"))
 
 
-@query("audit_log_append", "select event_type as type, count(*) as rows, min(event_id) as first_id, max(event_id) as last_id from events group by 1")
-def audit_log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = Model(spark, sf_dir).table("events")
-    return e.groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("rows"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
-
-
 @query("archive_rows", W + "select purchase_id, active and purchase_date >= date '1996-01-01' as active, case when active and purchase_date < date '1996-01-01' then purchase_date end as archived_at from purchases")
 def archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Soft delete: rows stay, with the flag off and a date."""

@@ -281,23 +281,6 @@ def guess_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Model(spark, sf_dir).table("part").select(F.col("p_partkey").alias("product_id"), F.when(number == "", "").otherwise(F.concat(F.replace(number, F.lit(","), F.lit(".")), F.lit(" "), F.upper(unit))).alias("pack"))
 
 
-#: Stores of the app, and the driver table that stands for each.
-STORES = {"markets": "customer", "products": "part", "purchases": "orders", "purchaseItems": "lineitem", "lists": "events", "settings": "region"}
-
-
-@query("reset_user_data", " union all ".join(f"select '{s}' as store, count(*) as before, {'count(*)' if s == 'settings' else '0::bigint'} as after from {t}" for s, t in STORES.items()))
-def reset_user_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows by store before and after a reset, which leaves the settings only."""
-    m, out = Model(spark, sf_dir), None
-    for store, table in STORES.items():
-        rows = m.table(table)
-        kept = rows if store == "settings" else rows.where(F.lit(False))
-        counts = rows.agg(F.count("*").alias("before")).join(kept.agg(F.count("*").alias("after")))  # one row each
-        part = counts.select(F.lit(store).alias("store"), "before", "after")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 SEED = Fixture("purchase_id long, total_cents long", [(-1, 35001), (-2, 9551)])
 
 

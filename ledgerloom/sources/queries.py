@@ -1,4 +1,4 @@
-"""Queries of the sources: scans, lookups, workbooks and backups."""
+"""Queries of the sources: scans, lookups and workbooks."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.model import CTES, Model
 from ..plans.registry import query
-from ..plans.shared import fresh_path
-from . import backup, xlsx
+from . import xlsx
 
 W = f"with {CTES} "
 
@@ -33,13 +32,6 @@ def xlsx_list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xlsx.parse_lists(files).select("path", "row", "name", "brand", "category", "quantity", "code")
 
 
-@query("backup_restore", "select n_nationkey, n_name, n_regionkey from nation")
-def backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, path = Model(spark, sf_dir), fresh_path(spark, "backup")
-    backup.export_backup({"nation": m.table("nation"), "region": m.table("region")}, path)
-    return backup.restore_backup(spark, path)["nation"].select("n_nationkey", "n_name", "n_regionkey")
-
-
 @query("database_snapshot", "select 'orders' as store, count(*) as rows from orders union all select 'lineitem', count(*) from lineitem union all select 'part', count(*) from part union all select 'customer', count(*) from customer union all select 'events', count(*) from events")
 def database_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Model(spark, sf_dir)
