@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..plans.model import CTES, Model
 from ..plans.registry import query
-from . import xlsx
+from ..plans.shared import fresh_path
+from . import workbooks
 
 W = f"with {CTES} "
 
@@ -22,14 +23,16 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Model(spark, sf_dir).purchases.where("purchase_id = 42").select("purchase_id", "market_id", "purchase_date")
 
 
-BOOK = [xlsx.TEMPLATE, ["Arroz & feijão", "Tio", "Mercearia", "5 kg", "un", "2", "Alvorada", "7891"], ["", "", ""], ["Sabonete", "", "Higiene", "", "un", "1,5", "", "2707"]]
+LISTS = """select cast(l_suppkey as varchar(20)) as list, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity) as row, p_name as name, p_brand as brand, p_type as category, cast(p_size as varchar(20)) || ' un & <x>' as pack, 'un' as unit, cast(l_quantity as varchar(40)) as quantity, case when l_suppkey % 2 = 0 then 'Mercado "Boa" Vista' else '' end as market, '789' || cast(l_partkey as varchar(20)) as code from lineitem join part on l_partkey = p_partkey"""
 
 
-@query("xlsx_list_rows", "select 'a.xlsx' as path, 1::bigint as row, 'Arroz & feijão' as name, 'Tio' as brand, 'Mercearia' as category, '2' as quantity, '7891' as code union all select 'a.xlsx', 2::bigint, 'Sabonete', '', 'Higiene', '1,5', '2707'")
+@query("xlsx_list_rows", LISTS)
 def xlsx_list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A workbook made by the writer, read by the reader; a file that is none gives no rows."""
-    files = spark.createDataFrame([("a.xlsx", bytearray(xlsx.write_rows(BOOK))), ("b.txt", bytearray(b"no workbook"))], "path string, content binary")
-    return xlsx.parse_lists(files).select("path", "row", "name", "brand", "category", "quantity", "code")
+    """All lines as the lists of their suppliers, written as workbooks and read back row for row."""
+    m, path = Model(spark, sf_dir), fresh_path(spark, "workbooks")
+    lists = spark.sql(LISTS.replace("from lineitem join part", "from {lineitem} join {part}"), lineitem=m.table("lineitem"), part=m.table("part"))
+    workbooks.write_lists(lists, path)
+    return workbooks.read_lists(spark, path)
 
 
 @query("database_snapshot", "select 'orders' as store, count(*) as rows from orders union all select 'lineitem', count(*) from lineitem union all select 'part', count(*) from part union all select 'customer', count(*) from customer union all select 'events', count(*) from events")
