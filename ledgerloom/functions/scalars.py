@@ -138,6 +138,17 @@ def money_tokens(c: Column) -> Column:
     return F.regexp_extract_all(blank(c), F.lit("(" + V.MONEY + ")"), 1)
 
 
+def display_name(c: Column) -> Column:
+    """A receipt's name as it is shown: short words written out, white space squeezed."""
+    return F.trim(reduce(lambda x, rule: F.regexp_replace(x, *rule), V.DISPLAY_RULES, blank(c)))
+
+
+def guess_pack(c: Column) -> Column:
+    """The first number and unit of a name, in capitals; empty if there is none."""
+    number, unit = (F.regexp_extract(blank(c), f"(?i){V.NAME_PACK}", i) for i in (1, 2))
+    return F.when(number == "", "").otherwise(F.concat(F.replace(number, F.lit(","), F.lit(".")), F.lit(" "), F.upper(unit)))
+
+
 def infer_category(c: Column) -> Column:
     n = normalize(c)
     return F.coalesce(*(F.when(n.rlike(p), name) for p, name in V.CATEGORY_PATTERNS), F.lit("Outros"))

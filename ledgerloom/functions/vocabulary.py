@@ -102,3 +102,22 @@ JSON_ITEM = {
     "total": ("total", "vProd", "valor", "lineTotal"),
     "discount": ("discount", "vDesc", "desconto"),
 }
+
+# How short words of receipts are shown, in order; number and unit in a name.
+DISPLAY_RULES = [(r"\s+", " "), (r"(?i)^\s*refr\.?\s+", "Refrigerante "), (r"(?i)^\s*refri\.?\s+", "Refrigerante "), (r"(?i)^\s*cerv\.?\s+", "Cerveja "), (r"(?i)\bp\s*/\s*", "para "), (r"(?i)\bc\s*/\s*(\d+)", "c/$1"), (r"(?i)\bado[cç]ante\b", "Adoçante")]
+NAME_PACK = r"(\d+(?:[.,]\d+)?)\s*(kg|g|l|ml|un)\b"
+
+# merchants' lines, and what their kind is called; formats of item lines, quantities, units and unit prices in receipt text.
+MERCHANT_REJECT = r"(?i)^(cnpj|cpf|documento|cupom|nota|fiscal|consumidor|endereco|avenida|av\.|rua|r\.|fone|tel|telefone|saquarema|data|hora|codigo|descricao|qtde|qtd|forma|pagamento|venda|valor|total|desconto)"
+MERCHANT_WORDS = r"(?i)supermercad|mercado|hipermercad|atacad|alvorada|drogaria|farm[aá]cia|farmacia|padaria|hortifruti|emporio|loja"
+MERCHANT_BEGINS = r"(?i)^(supermercad|mercad|drogaria|farm[aá]cia|farmacia|padaria|hiper|atacad)"
+COMPANY_WORDS = r"(?i)eireli|ltda|sa\b|s\.a\.|mei\b"
+TOTAL_LABELS = (r"valor\s*a\s*pagar", r"valor\s*pago", r"total\s*a\s*pagar", "^total")
+DISCOUNT_LABELS = ("desconto",)
+PAYMENT_LABELS = r"(?i)cart[aã]o\s+(?:de\s+)?d[eé]bito|cr[eé]dito|pix|dinheiro|vale"
+ITEM_NAME_CODE = r"(?i)^(.+?)\s*\(\s*c[oó]digo\s*:\s*([0-9]{4,14})\s*\).*$"
+ITEM_CODE_NAME = r"^\s*(\d{4,14})\s+(.{3,})$"
+ITEM_UNITS = "UN|UND|UNID|KG|L|ML|G"
+ITEM_QUANTITY = r"(?:qtde|qtd|quantidade)\s*(?:[:.]\s*)+"
+ITEM_UNIT_PRICE = r"(?i)v(?:l|alor)\.?\s*unit\.?[^:]*:\s*(.*)$"
+ITEM_COUNT = r"(?i)(?:qtde|qtd|quantidade)\.?\s*total\s*de\s*itens[^0-9]*(\d{1,3})"

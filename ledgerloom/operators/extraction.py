@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import scalars as S
 from ..functions import vocabulary as V
 from ..plans import duck as D
+from ..plans.model import CTES, Model
 from ..plans.registry import Fixture, query
 from .scalars import read
 
@@ -40,18 +41,10 @@ R$ 15,00
 Dinheiro 20,00"""
 RECEIPTS = Fixture("doc_id long, text string", [(1, RECEIPT_1), (2, RECEIPT_2), (3, "nada aqui\nfim 3,00"), (4, ""), (5, None)])
 
-# Fixed values of the domain: words that begin no merchant's name, that name its kind, and its legal form.
-MERCHANT_REJECT = r"(?i)^(cnpj|cpf|documento|cupom|nota|fiscal|consumidor|endereco|avenida|av\.|rua|r\.|fone|tel|telefone|saquarema|data|hora|codigo|descricao|qtde|qtd|forma|pagamento|venda|valor|total|desconto)"
-MERCHANT_WORDS = r"(?i)supermercad|mercado|hipermercad|atacad|alvorada|drogaria|farm[aá]cia|farmacia|padaria|hortifruti|emporio|loja"
-COMPANY_WORDS = r"(?i)eireli|ltda|sa\b|s\.a\.|mei\b"
-TOTAL_LABELS = r"(?i)valor\s*a\s*pagar|valor\s*pago|total\s*a\s*pagar|^total"
-PAYMENT_LABELS = r"(?i)cart[aã]o\s+(?:de\s+)?d[eé]bito|cr[eé]dito|pix|dinheiro|vale"
-
-
 def receipt_lines(docs: DataFrame) -> DataFrame:
     """doc_id and its lines: white space squeezed, blank lines dropped."""
     squeezed = F.transform(F.split(S.blank(F.col("text")), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t ]+", " ")))
-    return docs.select("doc_id", F.filter(squeezed, lambda x: x != "").alias("lines"))
+    return docs.select("doc_id", S.once(F.filter(squeezed, lambda x: x != "")).alias("lines"))
 
 
 def _amount(text: Column) -> Column:
@@ -60,16 +53,18 @@ def _amount(text: Column) -> Column:
     return F.when(F.size(found) > 0, F.abs(S.parse_number(F.element_at(found, -1), "receipt")))
 
 
-def labelled_value(lines: Column, labels: str, fallback: bool) -> Column:
-    """The amount of the last labelled line or of the three lines below it; else, if asked, the largest of the last 28 %."""
+def labelled_value(lines: Column, labels: tuple[str, ...], footer: bool) -> Column:
+    """The amount of the last labelled line or of the three lines below it; else the first one that follows a label in the text
+    with no digit and at most 40 letters between; else, if asked, the largest of the last 28 % of the lines."""
     at = F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1)))
     value = lambda i: F.array_compact(F.transform(F.slice(lines, i, 4), _amount))
-    hits = F.filter(at, lambda i: F.coalesce(F.get(lines, i - 1).rlike(labels), F.lit(False)) & (F.size(value(i)) > 0))
+    hits = F.filter(at, lambda i: F.coalesce(F.get(lines, i - 1).rlike("(?i)" + "|".join(labels)), F.lit(False)) & (F.size(value(i)) > 0))
     found = F.get(value(F.element_at(hits, -1)), 0)
+    after = [F.regexp_extract(F.array_join(lines, " "), f"(?i)(?:{p})[^0-9]{{0,40}}({V.MONEY})", 1) for p in labels]
+    apart = F.coalesce(*(F.when(x != "", F.abs(S.parse_number(x, "receipt"))) for x in after))
     tail = F.slice(lines, F.floor(F.size(lines) * 0.72).cast("int") + 1, F.greatest(F.size(lines), F.lit(1)))
-    footer = F.array_max(F.filter(F.flatten(F.transform(tail, lambda x: F.transform(S.money_tokens(x), lambda t: S.parse_number(t, "receipt")))), lambda v: (v > 0) & (v < 100000)))
-    none = F.coalesce(footer, F.lit(0.0)) if fallback else F.lit(0.0)
-    return F.when(F.size(hits) > 0, found).otherwise(none)
+    largest = F.array_max(F.filter(F.flatten(F.transform(tail, lambda x: F.transform(S.money_tokens(x), lambda t: S.parse_number(t, "receipt")))), lambda v: (v > 0) & (v < 100000)))
+    return F.when(F.size(hits) > 0, found).otherwise(F.coalesce(apart, largest, F.lit(0.0)) if footer else F.coalesce(apart, F.lit(0.0)))
 
 
 def first_match(lines: Column, pattern: str, group: int = 0) -> Column:
@@ -79,45 +74,49 @@ def first_match(lines: Column, pattern: str, group: int = 0) -> Column:
 
 def merchant_scores(lines: DataFrame) -> DataFrame:
     """Score of each of the first 18 lines as a merchant's name."""
-    x = lines.select("doc_id", F.posexplode(F.slice("lines", 1, 18)).alias("at", "line"))
-    value = F.when(F.col("line").rlike(MERCHANT_WORDS), 8).otherwise(0) + F.when(F.col("line").rlike(COMPANY_WORDS), 2).otherwise(0) + F.when(F.length("line").between(6, 70), 2).otherwise(0)
-    return x.where(~F.col("line").rlike(MERCHANT_REJECT)).withColumn("score", value).where("score > 0")
+    x = lines.select("doc_id", "lines", F.posexplode(F.slice("lines", 1, 18)).alias("at", "line")).withColumn("above", F.get("lines", F.col("at") - 1)).drop("lines")
+    value = F.when(F.col("line").rlike(V.MERCHANT_WORDS), 8).otherwise(0) + F.when(F.col("line").rlike(V.COMPANY_WORDS), 2).otherwise(0) + F.when(F.length("line").between(6, 70), 2).otherwise(0)
+    return x.where(~F.col("line").rlike(V.MERCHANT_REJECT)).withColumn("score", value).where("score > 0")
 
 
 def receipt_items(lines: DataFrame) -> DataFrame:
     """Item rows: a header line with name and code, and quantity, unit and two amounts in the lines below.
 
-    Of the last four amounts the pair that best fits quantity times price is taken.
+    Of the last four amounts the pair that best fits quantity times price is taken; without a quantity the least amount is the total.
+    A number of three to five digits counts as cents, unless a point or comma stands next to it (then it is part of another number).
     """
     spot = lines.select("doc_id", F.posexplode("lines").alias("at", "line"), "lines")
-    inline, first = r"(?i)^(.+?)\s*\(\s*c[oó]digo\s*:\s*([0-9]{4,14})\s*\).*$", r"^\s*(\d{4,14})\s+(.{3,})$"
+    inline, first = V.ITEM_NAME_CODE, V.ITEM_CODE_NAME
     is_inline = F.col("line").rlike(inline)
     x = spot.where(is_inline | F.col("line").rlike(first))
-    x = x.withColumn("name", F.trim(F.when(is_inline, F.regexp_extract("line", inline, 1)).otherwise(F.regexp_extract("line", first, 2))))
+    x = x.withColumn("name", S.display_name(F.when(is_inline, F.regexp_extract("line", inline, 1)).otherwise(F.regexp_extract("line", first, 2))))
     x = x.withColumn("code", F.when(is_inline, F.regexp_extract("line", inline, 2)).otherwise(F.regexp_extract("line", first, 1)))
-    detail = r"(?i)(?:qtde|qtd|quantidade)\s*(?:[:.]\s*)+|^\s*\d+(?:[.,]\d+)?\s+(?:UN|UND|UNID|KG|L|ML|G)\b"
+    leads = rf"^\s*(\d+(?:[.,]\d+)?)\s+(?:{V.ITEM_UNITS})\b"
+    detail = f"(?i){V.ITEM_QUANTITY}|{leads}"
     below = F.sequence(F.col("at") + 2, F.col("at") + 5)
     x = x.withColumn("from", F.coalesce(F.get(F.filter(below, lambda i: F.coalesce(F.get("lines", i - 1).rlike(detail), F.lit(False))), 0), F.col("at") + 2))
-    x = x.withColumn("detail", F.slice("lines", F.col("from"), 2)).withColumn("window", F.array_join("detail", " "))
-    labelled = F.regexp_extract("window", r"(?i)(?:qtde|qtd|quantidade)\s*(?:[:.]\s*)+(\d+(?:[.,]\d+)?)", 1)
-    leading = F.regexp_extract("window", r"(?i)^\s*(\d+(?:[.,]\d+)?)\s+(?:UN|UND|UNID|KG|L|ML|G)\b", 1)
+    x = x.withColumn("detail", S.once(F.slice("lines", F.col("from"), 2))).withColumn("window", F.array_join("detail", " "))
+    labelled = F.regexp_extract("window", rf"(?i){V.ITEM_QUANTITY}(\d+(?:[.,]\d+)?)", 1)
+    leading = F.regexp_extract("window", f"(?i){leads}", 1)
     quantity = F.when(labelled != "", labelled).when(leading != "", leading)
     x = x.withColumn("quantity", F.when(quantity.isNotNull(), S.parse_number(quantity, "receipt")))
-    unit = F.lower(F.regexp_extract("window", r"(?i)\b(UN|UND|UNID|KG|L|ML|G)\b", 1))
+    unit = F.lower(F.regexp_extract("window", rf"(?i)\b({V.ITEM_UNITS})\b", 1))
     x = x.withColumn("unit", F.when(unit == "und", "un").otherwise(unit))
-    label = r"(?i)v(?:l|alor)\.?\s*unit\.?[^:]*:\s*(.*)$"
+    label = V.ITEM_UNIT_PRICE
     tail = lambda t: F.when(t.rlike(label), F.regexp_extract(t, label, 1)).otherwise(t)
     decimals = lambda t: F.transform(F.regexp_extract_all(F.regexp_replace(tail(t), r"(\d+)\s*,\s*(\d{2})", "$1,$2"), F.lit(r"(\d+[.,]\d{2})"), 1), lambda v: S.parse_number(v, "receipt"))
     bare = lambda t: F.filter(F.transform(F.regexp_extract_all(tail(t), F.lit(r"(?<![\dA-Za-z.,])(\d{3,5})(?![\dA-Za-z.,])"), 1), lambda v: v.cast("double") / 100), lambda v: v > 0)
     money = F.flatten(F.transform("detail", lambda t: F.concat(decimals(t), bare(t))))
-    x = x.withColumn("money", money).where("size(money) >= 2").withColumn("money", F.slice("money", F.greatest(F.size("money") - 3, F.lit(1)), 4))
+    x = x.withColumn("money", S.once(money)).where("size(money) >= 2").withColumn("money", S.once(F.slice("money", F.greatest(F.size("money") - 3, F.lit(1)), 4)))
     n = F.sequence(F.lit(0), F.size("money") - 1)
-    pairs = F.flatten(F.transform(n, lambda i: F.transform(F.filter(n, lambda j: j != i), lambda j: F.struct(F.abs(S.round2(F.col("quantity") * F.get("money", i)) - F.get("money", j)).alias("err"), F.least(i, j).alias("a"), F.greatest(i, j).alias("b"), (i > j).alias("swapped"), F.get("money", i).alias("unit_price"), F.get("money", j).alias("total")))))
-    x = x.withColumn("best", F.array_min(pairs))
+    pairs = F.flatten(F.transform(n, lambda i: F.transform(F.filter(n, lambda j: j != i), lambda j: F.struct(F.abs(S.round2(F.coalesce("quantity", F.lit(0.0)) * F.get("money", i)) - F.get("money", j)).alias("err"), F.least(i, j).alias("a"), F.greatest(i, j).alias("b"), (i > j).alias("swapped"), F.get("money", i).alias("unit_price"), F.get("money", j).alias("total")))))
+    x = x.withColumn("quantity", S.once(F.col("quantity"))).withColumn("best", S.once(F.array_min(pairs)))
     near = F.slice("lines", F.col("at") + 2, 3)
     x = x.withColumn("discount", F.coalesce(F.get(F.array_compact(F.transform(F.filter(near, lambda t: t.rlike("(?i)desconto[^0-9]*\\d")), _amount)), 0), F.lit(0.0)))
     good = (F.col("best.err") <= 0.03) & F.col("quantity").isNotNull() & (F.col("unit") != "")
-    return x.where("best.total > 0").select("doc_id", F.col("at").cast("long").alias("line"), "code", "name", "quantity", "unit", "best.unit_price", "best.total", "discount", F.when(F.coalesce(good, F.lit(False)), 0.9).otherwise(0.55).alias("confidence"), S.gtin_valid(F.col("code")).alias("gtin_valid"))
+    sure = F.coalesce(good, F.lit(False))
+    kind = [S.infer_category(F.col("name")).alias("category"), S.guess_pack(F.col("name")).alias("pack"), (~sure).alias("needs_review")]
+    return x.where("best.total > 0").select("doc_id", F.col("at").cast("long").alias("line"), "code", "name", "quantity", "unit", "best.unit_price", "best.total", "discount", F.when(sure, 0.9).otherwise(0.55).alias("confidence"), S.gtin_valid(F.col("code")).alias("gtin_valid"), *kind)
 
 
 def distinct_items(items: DataFrame) -> DataFrame:
@@ -135,51 +134,87 @@ def receipt_headers(docs: DataFrame) -> DataFrame:
     fixed = F.filter(F.transform(F.filter(lines, lambda t: t.rlike(number)), lambda t: S.repaired_cnpj(F.regexp_extract(t, f"({number})", 1))), lambda c: c != "")
     joined = F.array_join(lines, " ")
     date = F.regexp_extract(joined, r"\b(\d{2}[/.\-]\d{2}[/.\-]\d{2,4})\b", 1)
-    count = first_match(lines, r"(?i)(?:qtde|qtd|quantidade)\.?\s*total\s*de\s*itens[^0-9]*(\d{1,3})", 1)
-    paid = F.coalesce(F.get(F.filter(lines, lambda t: t.rlike(PAYMENT_LABELS)), 0), F.lit(""))
-    return x.select("doc_id", F.coalesce(F.get(fixed, 0), F.lit("")).alias("cnpj"), S.parse_date(date).alias("date"), S.parse_time(joined).alias("time"), labelled_value(lines, TOTAL_LABELS, True).alias("total"), labelled_value(lines, "(?i)desconto", False).alias("discount_total"), paid.alias("payment"), F.coalesce(count.try_cast("int"), F.lit(0)).alias("declared"))
-
-
-def _expected(schema: str, rows: list[tuple]) -> str:
-    f = Fixture(schema, rows)
-    return f"with {f.cte('t')} select * from t"
-
-
-#: What the fixtures' receipts say, worked out by hand.
-HEADER_ROWS = [(1, "17.833.301/0022-23", "2026-09-10", "14:25:10", 40.2, 0.4, "Cartão de Débito 40,20", 2), (2, "17.833.301/0022-23", "2026-02-01", "09:05", 15.0, 0.0, "Dinheiro 20,00", 0), (3, "", None, "", 3.0, 0.0, "", 0), (4, "", None, "", 0.0, 0.0, "", 0), (5, "", None, "", 0.0, 0.0, "", 0)]
-
-
-@query("receipt_header", _expected("doc_id long, cnpj string, date string, time string, total double, discount_total double, payment string, declared int", HEADER_ROWS).replace("select *", "select * replace (cast(date as date) as date)"))
+    count = first_match(lines, V.ITEM_COUNT, 1)
+    paid = F.coalesce(F.get(F.filter(lines, lambda t: t.rlike(V.PAYMENT_LABELS)), 0), F.lit(""))
+    return x.select("doc_id", F.coalesce(F.get(fixed, 0), F.lit("")).alias("cnpj"), S.parse_date(date).alias("date"), S.parse_time(joined).alias("time"), labelled_value(lines, V.TOTAL_LABELS, True).alias("total"), labelled_value(lines, V.DISCOUNT_LABELS, False).alias("discount_total"), paid.alias("payment"), F.coalesce(count.try_cast("int"), F.lit(0)).alias("declared"))
+
+
+#: Ids of the texts rendered from orders begin here.
+ORDERS = 1000
+#: Order, place and amounts of the rendered lines, for both engines: cents are whole, a line's total is quantity times unit price.
+LINE_AMOUNTS = "cast(quantity as int) as q, cast(floor(cast(line_cents as double) / cast(quantity as int) + 0.5) as bigint) as u"
+
+
+def receipt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixtures, and a receipt's text for each order: items in two formats, merchants on one line or two, totals on the label's line or below it."""
+    m, k = Model(spark, sf_dir), F.col("purchase_id")
+    money = lambda cents: F.concat(F.floor(cents / 100).cast("string"), F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"))
+    say = lambda *x: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in x))
+    lines = m.items.join(m.products.select("product_id", "name"), "product_id").selectExpr("purchase_id", "line_number", "product_id", "line_cents", "quantity", "name", *LINE_AMOUNTS.split(", ", 1)[:1], LINE_AMOUNTS.split(", ", 1)[1])
+    lines = lines.withColumn("t", F.col("q") * F.col("u")).withColumn("d", F.when(k % 5 == 0, F.floor(F.col("t") / 20)).otherwise(F.lit(0).cast("long")))
+    code, name = say("789", F.lpad(F.col("product_id").cast("string"), 9, "0")), F.concat(F.when(F.col("product_id") % 3 == 0, "Refri ").otherwise(""), "name")
+    amounts = say(money(F.col("u")), " ", money(F.col("t")))
+    own = F.when(F.col("product_id") % 2 == 0, say(name, " (Código: ", code, ") Vl. Total\nQtde.: ", F.col("q"), " UN Vl. Unit.: ", amounts)).otherwise(say(code, " ", name, "\n", F.col("q"), " UN ", amounts))
+    own = F.concat(own, F.when(k % 5 == 0, say("\nDesconto ", money(F.col("d")))).otherwise(""))
+    each = F.struct("line_number", "product_id", "line_cents", "quantity", own.alias("text"))
+    bodies = lines.groupBy("purchase_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["text"]), "\n").alias("body"), F.sum("t").alias("t"), F.sum("d").alias("d"), F.count("*").alias("n"))
+    names = m.table("customer").select(F.col("c_custkey").alias("market_id"), F.col("c_name").alias("c"))
+    x = m.purchases.join(bodies, "purchase_id", "left").join(names, "market_id").fillna(0, ["t", "d", "n"])
+    merchant = F.when(k % 3 == 0, say("SUPERMERCADO\nLoja ", F.col("c"), " LTDA")).when(k % 3 == 1, say("Padaria ", F.col("c"))).otherwise(say("DROGARIA\nEmporio ", F.col("c"), " LTDA"))
+    due = money(F.col("t") - F.col("d"))
+    parts = F.array(
+        merchant, F.when(k % 2 == 0, "CNPJ 17.833.301/0022-23"), F.concat(F.date_format("purchase_date", "dd/MM/yyyy"), F.lit(" 10:"), F.lpad((k % 60).cast("string"), 2, "0")), F.col("body"), F.lit("================"),
+        F.when(F.col("d") > 0, say("DESCONTO TOTAL ", money(F.col("d")))), say("QTDE TOTAL DE ITENS ", F.col("n")), F.when(k % 4 == 0, say("VALOR A PAGAR\nR$ ", due)).otherwise(say("VALOR A PAGAR ", due)), say("Cartão de Débito ", due),
+    )
+    made = x.select((k + ORDERS).alias("doc_id"), F.array_join(parts, "\n").alias("text"))
+    return RECEIPTS.df(spark).unionByName(made)
+
+
+#: What the fixtures' receipts say, worked out by hand; the others' oracle are the rows that they were rendered from.
+HEADERS = Fixture("doc_id long, cnpj string, date string, time string, total double, discount_total double, payment string, declared int", [(1, "17.833.301/0022-23", "2026-09-10", "14:25:10", 40.2, 0.4, "Cartão de Débito 40,20", 2), (2, "17.833.301/0022-23", "2026-02-01", "09:05", 15.0, 0.0, "Dinheiro 20,00", 0), (3, "", None, "", 3.0, 0.0, "", 0), (4, "", None, "", 0.0, 0.0, "", 0), (5, "", None, "", 0.0, 0.0, "", 0)])
+ITEMS = Fixture("doc_id long, line long, code string, name string, quantity double, unit string, unit_price double, total double, discount double, confidence double, gtin_valid boolean", [(1, 3, "7891000100103", "Refrigerante COLA 2L", 2.0, "un", 14.9, 29.8, 0.0, 0.9, True), (1, 5, "2707", "PAO FRANCES", 0.52, "kg", 20.0, 10.4, 0.4, 0.9, True), (2, 4, "7891000", "DIPIRONA 500MG", 3.0, "un", 5.0, 15.0, 0.0, 0.9, False), (2, 6, "7891000", "DIPIRONA 500MG", 3.0, "un", 5.0, 15.0, 0.0, 0.9, False)])
+MERCHANTS = Fixture("doc_id long, name string, type string", [(1, "ALVORADA LTDA", "supermercado"), (2, "Drogaria Boa Vida", "drogaria"), (3, "nada aqui", "supermercado")])
+AMOUNT = "({0} // 100) || ',' || lpad(({0} % 100)::varchar, 2, '0')"
+RENDERED = f"""with {CTES}, {HEADERS.cte('fh')}, {ITEMS.cte('fi')}, {MERCHANTS.cte('fm')},
+rl as (select purchase_id as k, row_number() over (partition by purchase_id order by line_number, product_id, line_cents, quantity) as n, product_id as pid, '789' || lpad(product_id::varchar, 9, '0') as code, case when product_id % 3 = 0 then 'Refrigerante ' else '' end || name as name, {LINE_AMOUNTS} from items join products using (product_id)),
+ra as (select *, q * u as t, case when k % 5 = 0 then q * u // 20 else 0 end as d from rl),
+ri as (select * from fi union all select k + {ORDERS}, (case when k % 3 = 1 then 1 else 2 end) + (k % 2 = 0)::int + 1 + (n - 1) * (2 + (k % 5 = 0)::int), code, name, q::double, 'un', u::double / 100, t::double / 100, d::double / 100, 0.9, {D.gtin_valid('code')} from ra),
+rx as (select *, {D.category('name')} as category, {D.guess_pack('name')} as pack, confidence < 0.9 as needs_review from ri),
+rs as (select p.purchase_id as k, market_id, purchase_date, coalesce(t, 0)::bigint as t, coalesce(d, 0)::bigint as d, coalesce(n, 0) as n from purchases p left join (select k, sum(t) as t, sum(d) as d, count(*) as n from ra group by 1) s on s.k = p.purchase_id),
+rh as (select * replace (cast(date as date) as date) from fh union all select k + {ORDERS}, case when k % 2 = 0 then '17.833.301/0022-23' else '' end, purchase_date, '10:' || lpad((k % 60)::varchar, 2, '0'), (t - d)::double / 100, d::double / 100, 'Cartão de Débito ' || {AMOUNT.format('(t - d)')}, n::int from rs),
+rm as (select * from fm union all select k + {ORDERS}, case k % 3 when 0 then 'Loja ' || c_name || ' LTDA' when 1 then 'Padaria ' || c_name else 'DROGARIA Emporio ' || c_name || ' LTDA' end, case k % 3 when 0 then 'supermercado' when 1 then 'padaria' else 'drogaria' end from rs join customer on c_custkey = market_id)"""
+
+
+@query("receipt_header", f"{RENDERED} select * from rh")
 def receipt_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return receipt_headers(RECEIPTS.df(spark))
-
-
-ITEM_ROWS = [(1, 3, "7891000100103", "REFRI COLA 2L", 2.0, "un", 14.9, 29.8, 0.0, 0.9, True), (1, 5, "2707", "PAO FRANCES", 0.52, "kg", 20.0, 10.4, 0.4, 0.9, True), (2, 4, "7891000", "DIPIRONA 500MG", 3.0, "un", 5.0, 15.0, 0.0, 0.9, False), (2, 6, "7891000", "DIPIRONA 500MG", 3.0, "un", 5.0, 15.0, 0.0, 0.9, False)]
-ITEM_SCHEMA = "doc_id long, line long, code string, name string, quantity double, unit string, unit_price double, total double, discount double, confidence double, gtin_valid boolean"
+    return receipt_headers(receipt_texts(spark, sf_dir))
 
 
-@query("receipt_lines", _expected(ITEM_SCHEMA, ITEM_ROWS))
+@query("receipt_lines", f"{RENDERED} select * from rx")
 def receipt_lines_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return receipt_items(receipt_lines(RECEIPTS.df(spark)))
+    return receipt_items(receipt_lines(receipt_texts(spark, sf_dir)))
 
 
-@query("receipt_item_dedup", _expected(ITEM_SCHEMA, ITEM_ROWS[:3]))
+@query("receipt_item_dedup", f"{RENDERED} select * exclude (r) from (select *, row_number() over (partition by doc_id, code, total, quantity order by line) as r from rx) where r = 1")
 def receipt_item_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinct_items(receipt_items(receipt_lines(RECEIPTS.df(spark))))
+    return distinct_items(receipt_items(receipt_lines(receipt_texts(spark, sf_dir))))
 
 
-@query("labeled_total", _expected("doc_id long, total double, discount double", [(r[0], r[4], r[5]) for r in HEADER_ROWS]))
+@query("labeled_total", f"{RENDERED} select doc_id, total, discount_total as discount from rh")
 def labeled_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.col("lines")
-    return receipt_lines(RECEIPTS.df(spark)).select("doc_id", labelled_value(lines, TOTAL_LABELS, True).alias("total"), labelled_value(lines, "(?i)desconto", False).alias("discount"))
+    return receipt_lines(receipt_texts(spark, sf_dir)).select("doc_id", labelled_value(lines, V.TOTAL_LABELS, True).alias("total"), labelled_value(lines, V.DISCOUNT_LABELS, False).alias("discount"))
 
 
-@query("merchant_identity", _expected("doc_id long, name string, type string", [(1, "ALVORADA LTDA", "supermercado"), (2, "Drogaria Boa Vida", "drogaria"), (3, "nada aqui", "supermercado")]))
+@query("merchant_identity", f"{RENDERED} select * from rm")
 def merchant_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best-scored line, the first of equals, without the word of its type if something is left."""
-    best = merchant_scores(receipt_lines(RECEIPTS.df(spark))).groupBy("doc_id").agg(F.max(F.struct("score", -F.col("at"), "line")).alias("b")).select("doc_id", F.col("b.line").alias("line"))
+    """The best-scored line, the first of equals, with the line above if that begins with a kind of market; without the word of its type if something is left."""
+    scored = merchant_scores(receipt_lines(receipt_texts(spark, sf_dir)))
+    best = scored.groupBy("doc_id").agg(F.max(F.struct("score", -F.col("at"), "line", "above")).alias("b")).select("doc_id", "b.line", "b.above")
+    joined = F.coalesce(F.col("above").rlike(V.MERCHANT_BEGINS) & ~F.col("above").rlike("(?i)cnpj|cpf"), F.lit(False))
+    best = best.withColumn("raw", F.col("line")).withColumn("line", F.when(joined, F.concat_ws(" ", "above", "line")).otherwise(F.col("line")))
     short = F.trim(F.regexp_replace("line", r"(?i)^.*?(?:super)?mercad(?:os?)?\s+", ""))
-    x = best.withColumn("name", F.when(short != "", short).otherwise(F.col("line")))
+    x = best.withColumn("name", F.when(short != "", short).otherwise(F.col("raw")))
     kind = F.when(F.col("name").rlike("(?i)drogaria|farm[aá]cia"), "drogaria").when(F.col("name").rlike("(?i)padaria"), "padaria").when(F.col("name").rlike("(?i)hortifruti"), "hortifruti").when(F.col("name").rlike("(?i)atacad"), "atacarejo").otherwise("supermercado")
     return x.select("doc_id", "name", kind.alias("type"))
 

@@ -277,8 +277,7 @@ def guess_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first number and unit of a name, in capitals; the SQL gives the pack that went in."""
     size = F.col("p_size").cast("string")
     name = F.concat(F.col("p_name"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), size, F.lit("kg"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit(" pote "), size, F.lit(",5 ml")).cast("string")).otherwise(" 12 mg"))
-    number, unit = (F.regexp_extract(name, r"(?i)(\d+(?:[.,]\d+)?)\s*(kg|g|l|ml|un)\b", i) for i in (1, 2))
-    return Model(spark, sf_dir).table("part").select(F.col("p_partkey").alias("product_id"), F.when(number == "", "").otherwise(F.concat(F.replace(number, F.lit(","), F.lit(".")), F.lit(" "), F.upper(unit))).alias("pack"))
+    return Model(spark, sf_dir).table("part").select(F.col("p_partkey").alias("product_id"), S.guess_pack(name).alias("pack"))
 
 
 SEED = Fixture("purchase_id long, total_cents long", [(-1, 35001), (-2, 9551)])

@@ -224,19 +224,10 @@ def unit_price_equivalent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DISPLAY = Fixture("id long, s string", [(1, "refr. coca"), (2, "Cerv  skol"), (3, "leite p/ cafe c/ 12"), (4, "adocante zero"), (5, None)])
-DISPLAY_RULES = [(r"\s+", " "), (r"(?i)^\s*refr\.?\s+", "Refrigerante "), (r"(?i)^\s*refri\.?\s+", "Refrigerante "), (r"(?i)^\s*cerv\.?\s+", "Cerveja "), (r"(?i)\bp\s*/\s*", "para "), (r"(?i)\bc\s*/\s*(\d+)", "c/$1"), (r"(?i)\bado[cç]ante\b", "Adoçante")]
 
 
-def _display_sql() -> str:
-    s = "coalesce(s, '')"
-    for pattern, to in DISPLAY_RULES:
-        s = D.sub(s, pattern.replace("(?i)", ""), to.replace("$", "\\"), "gi")
-    return f"trim({s})"
-
-
-@query("display_name", f"with {DISPLAY.cte('t')} select id, {_display_sql()} as name from t")
+@query("display_name", f"with {DISPLAY.cte('t')}, n as (select 'f' || id as id, s from t union all select 'p' || p_partkey, case p_partkey % 4 when 0 then 'refri. ' when 1 then 'Cerv ' when 2 then 'refr ' else 'copo p / ' end || p_name || ' c / 6' from part) select id, {D.display('s')} as name from n")
 def display_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = S.blank(F.col("s"))
-    for rule in DISPLAY_RULES:
-        s = F.regexp_replace(s, *rule)
-    return DISPLAY.df(spark).select("id", F.trim(s).alias("name"))
+    start = F.element_at(F.array(*map(F.lit, ("refri. ", "Cerv ", "refr ", "copo p / "))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    parts = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.concat(start, "p_name", F.lit(" c / 6")).alias("s"))
+    return DISPLAY.df(spark).withColumn("id", F.concat(F.lit("f"), "id")).unionByName(parts).select("id", S.display_name(F.col("s")).alias("name"))

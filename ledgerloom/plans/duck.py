@@ -141,3 +141,15 @@ def market_similarity(a: str, b: str) -> str:
 
 def score4(x: str) -> str:
     return f"floor(({x}) * 10000 + 0.5) / 10000"
+
+
+def display(x: str) -> str:
+    s = f"coalesce({x}, '')"
+    for pattern, to in V.DISPLAY_RULES:
+        s = sub(s, pattern.replace("(?i)", ""), to.replace("$", "\\"), "gi")
+    return f"trim({s})"
+
+
+def guess_pack(x: str) -> str:
+    part = lambda i: f"regexp_extract({x}, {q(V.NAME_PACK)}, {i}, 'i')"
+    return f"case when {part(1)} = '' then '' else replace({part(1)}, ',', '.') || ' ' || upper({part(2)}) end"
