@@ -248,17 +248,6 @@ def field_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", field_status(F.trim(S.blank(F.col("event_type"))) != "", F.when(F.col("event_type") == "error", 1).otherwise(0), c).alias("status"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)).alias("confidence"))
 
 
-#: Field of a receipt's header, whether it's required, and its column.
-HEADER_FIELDS = [("marketName", True, "market"), ("cnpj", False, "cnpj"), ("date", True, "date"), ("time", False, "time"), ("fiscalKey", False, "fiscal_key"), ("total", True, "total"), ("discountTotal", False, "discount_total"), ("paymentMethod", False, "method"), ("paymentAmount", False, "paid"), ("declaredItemCount", False, "declared")]
-
-
-@query("receipt_evidence", f"with {HEADERS.cte('r')}, e as (" + " union all ".join(f"select receipt_id, '{f}' as field, {str(need).lower()} as required, cast({c} as varchar) as v, confidence as c, 0 as conflicts, replace({D.norm_receipt('source')}, ' ', '_') as source from r" for f, need, c in HEADER_FIELDS) + f") select receipt_id, field, required, {STATUS_SQL} as status, source from e")
-def receipt_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(need).alias("required"), F.col(c).cast("string").alias("value")) for f, need, c in HEADER_FIELDS))
-    x = HEADERS.df(spark).select("receipt_id", "confidence", F.replace(S.normalize_receipt(F.col("source")), F.lit(" "), F.lit("_")).alias("source"), F.explode(fields).alias("f"))
-    return x.select("receipt_id", "f.field", "f.required", field_status(F.trim(S.blank(F.col("f.value"))) != "", F.lit(0), F.col("confidence")).alias("status"), "source")
-
-
 LINE_VALUES = ["name", "barcode", "quantity", "unit", "unit_price", "total", "discount"]
 
 
@@ -320,14 +309,3 @@ def publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ("EXACT", "STRONG", "REVIEW", "WEAK", "NEW", "AMBIGUOUS", "MANUAL")
     return LINES.df(spark).groupBy("receipt_id").agg(*(F.count_if(F.col("match_status") == s).alias(s.lower()) for s in kinds))
-
-
-@query("receipt_fingerprint", f"with {LINES.cte('l')}, {HEADERS.cte('r')}, s as (select receipt_id, string_agg({D.digits('barcode')} || '|' || {D.norm_receipt('name')} || '|' || {D.unit('unit')} || '|' || cast(cast(floor(coalesce(quantity, 0) * 1000 + 0.5) as bigint) as varchar) || '|' || cast(cast(floor(coalesce(total, 0) * 100 + 0.5) as bigint) as varchar), '~' order by {D.digits('barcode')} || '|' || {D.norm_receipt('name')} || '|' || {D.unit('unit')} || '|' || cast(cast(floor(coalesce(quantity, 0) * 1000 + 0.5) as bigint) as varchar) || '|' || cast(cast(floor(coalesce(total, 0) * 100 + 0.5) as bigint) as varchar)) as sig from l group by 1)" + f" select receipt_id, case when length({D.digits('fiscal_key')}) = 44 then 'FISCAL:' || {D.digits('fiscal_key')} else sha256({D.digits('cnpj')} || '##' || coalesce(date, '') || '##' || substr(coalesce(time, ''), 1, 8) || '##' || cast(cast(floor(coalesce(total, 0) * 100 + 0.5) as bigint) as varchar) || '##' || coalesce(sig, '')) end as fingerprint from r left join s using (receipt_id)")
-def receipt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amounts go in as whole thousandths and cents, the ISO date as it is."""
-    whole = lambda c, by: F.floor(F.coalesce(c, F.lit(0.0)) * by + 0.5).cast("string")
-    sig = F.concat_ws("|", S.digits(F.col("barcode")), S.normalize_receipt(F.col("name")), S.canonical_unit(F.col("unit")), whole("quantity", 1000), whole("total", 100))
-    lines = LINES.df(spark).groupBy("receipt_id").agg(F.array_join(F.array_sort(F.collect_list(sig)), "~").alias("sig"))
-    key = S.digits(F.col("fiscal_key"))
-    base = F.concat_ws("##", S.digits(F.col("cnpj")), S.blank(F.col("date")), F.substring(S.blank(F.col("time")), 1, 8), whole("total", 100), S.blank(F.col("sig")))
-    return HEADERS.df(spark).join(lines, "receipt_id", "left").select("receipt_id", F.when(F.length(key) == 44, F.concat(F.lit("FISCAL:"), key)).otherwise(F.sha2(base, 256)).alias("fingerprint"))

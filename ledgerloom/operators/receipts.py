@@ -159,15 +159,6 @@ def duplicate_candidates(spark: SparkSession, sf_dir: str, band_cents: int = 5)
     return pairs.select("first", "second", ((F.col("total_cents") - F.col("other")).cast("double") / 100).alias("delta"))
 
 
-@query("save_time_duplicate", f"{W}, {PLANTED_SQL} select a.purchase_id, min(b.purchase_id) as existing from planted a join planted b on a.market_id = b.market_id and a.purchase_date = b.purchase_date and a.total_cents = b.total_cents and b.purchase_id < a.purchase_id where b.active group by 1")
-def save_time_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first active purchase of the same market, date and total that a purchase would repeat."""
-    key = ["market_id", "purchase_date", "total_cents"]
-    p = planted_purchases(Model(spark, sf_dir))
-    first = p.where("active").groupBy(*key).agg(F.min("purchase_id").alias("existing"))
-    return p.join(first, key).where("existing < purchase_id").select("purchase_id", "existing")
-
-
 SEEN_ONLINE = "select case when c_custkey % 3 = 0 then upper(c_name) when c_custkey % 3 = 1 then c_name || ' Novo' else c_name end as name, case when c_custkey % 2 = 0 then n_name else '' end as neighborhood, c_custkey as seq from customer join nation on c_nationkey = n_nationkey"
 
 
