@@ -16,7 +16,7 @@ from ..functions import scalars as S
 from ..functions import vocabulary as V
 from ..plans import duck as D
 from ..plans.model import CTES, Model
-from ..plans.registry import Fixture, query
+from ..plans.registry import Extended, Fixture, query
 
 LINE_TOLERANCE, DOCUMENT_TOLERANCE = 0.03, 0.05
 UNITS = sorted(set(V.UNIT_ALIASES.values()))
@@ -251,13 +251,21 @@ def field_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE_VALUES = ["name", "barcode", "quantity", "unit", "unit_price", "total", "discount"]
 
 
-@query("evidence_coverage", f"with {LINES.cte('l')} select receipt_id, floor(cast(sum(" + " + ".join(f"case when trim(coalesce(cast({c} as varchar), '')) = '' then 0 else 1 end" for c in LINE_VALUES) + f") as double) / (count(*) * {len(LINE_VALUES)}) * 10000 + 0.5) / 10000 as coverage from l group by 1")
+ALL_LINES = f"{CTES}, {LINES.cte('lf')}, l as (select * from lf union all by name {DRIVER_LINES})"
+
+
+def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the fixtures and of the tables."""
+    return LINES.df(spark).unionByName(driver_lines(Model(spark, sf_dir)))
+
+
+@query("evidence_coverage", f"with {ALL_LINES} select receipt_id, floor(cast(sum(" + " + ".join(f"case when trim(coalesce(cast({c} as varchar), '')) = '' then 0 else 1 end" for c in LINE_VALUES) + f") as double) / (count(*) * {len(LINE_VALUES)}) * 10000 + 0.5) / 10000 as coverage from l group by 1")
 def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = reduce(lambda a, b: a + b, (F.when(F.trim(S.blank(F.col(c))) != "", 1).otherwise(0) for c in LINE_VALUES))
-    return LINES.df(spark).groupBy("receipt_id").agg((F.floor(F.sum(there).cast("double") / (F.count("*") * len(LINE_VALUES)) * 10000 + 0.5) / 10000).alias("coverage"))
+    return all_lines(spark, sf_dir).groupBy("receipt_id").agg((F.floor(F.sum(there).cast("double") / (F.count("*") * len(LINE_VALUES)) * 10000 + 0.5) / 10000).alias("coverage"))
 
 
-PARSED = Fixture(
+PARSED = Extended(
     "id long, market string, cnpj string, date string, items int, priced int, bad int, declared int, total double, line_sum double, passes int, confidence double, coverage double, needs_review boolean, audit string, publish boolean",
     [
         (1, "Loja", "17833301002223", "2026-09-10", 5, 5, 0, 5, 95.51, 95.51, 4, 0.95, 0.9, False, "PASS", True),
@@ -268,6 +276,7 @@ PARSED = Fixture(
         (6, "Loja", "09653290000147", "2026-09-10", 2, 2, 0, 2, None, 10.0, 3, 0.83, 0.82, False, "PASS", True),
         (7, "Loja", "09653290000147", "2026-09-10", 2, 2, 0, 2, 10.0, 10.0, 3, 0.9, 0.9, False, "PASS", False),
     ],
+    "select o_orderkey + 1000000 as id, case when o_orderkey % 13 = 0 then 'Mercado não identificado' else 'Loja ' || o_custkey end as market, case when o_custkey % 4 = 0 then null when o_custkey % 4 = 1 then '17833301002223' else lpad(cast(o_custkey as varchar(20)), 14, '0') end as cnpj, case when o_orderkey % 17 = 0 then null else cast(cast(o_orderdate as date) as varchar(20)) end as date, o_orderkey % 7 as items, o_orderkey % 5 as priced, case when o_orderkey % 11 = 0 then 1 else 0 end as bad, o_orderkey % 8 as declared, case when o_orderkey % 19 = 0 then null else o_totalprice end as total, o_totalprice + (o_orderkey % 3) * 0.04e0 as line_sum, o_orderkey % 6 as passes, (o_orderkey % 100) / 1e2 as confidence, (o_orderkey % 90) / 1e2 + 0.1e0 as coverage, o_orderkey % 9 = 0 as needs_review, case o_orderkey % 4 when 0 then 'PASS' when 1 then 'PASS' when 2 then 'BLOCK' end as audit, o_orderkey % 10 > 1 as publish from {orders}",
 )
 
 
@@ -280,7 +289,7 @@ def parse_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.coalesce("total", F.lit(0.0))
     parts = [(F.col("items") > 0, 0.40), (total != 0, 0.15), (S.blank(F.col("cnpj")) != "", 0.15), (S.blank(F.col("date")) != "", 0.1), ((F.col("declared") > 0) & (F.col("declared") == F.col("items")), 0.1), ((total != 0) & (F.abs(F.col("line_sum") - total) <= 0.05), 0.1)]
     value = reduce(lambda a, p: a + F.when(p[0], p[1]).otherwise(0.0), parts, F.lit(0.05))
-    return PARSED.df(spark).select("id", score(F.least(F.lit(1.0), value)).alias("confidence"))
+    return PARSED.df(spark, sf_dir).select("id", score(F.least(F.lit(1.0), value)).alias("confidence"))
 
 
 @query("structural_score", f"with {PARSED.cte('t')} select id, floor((items * 4 + case when coalesce(market, '') not in ('', 'Mercado não identificado') then 4 else 0 end + case when coalesce(cnpj, '') <> '' then 6 else 0 end + case when coalesce(date, '') <> '' then 4 else 0 end + case when coalesce(total, 0) > 0 then 5 + greatest(0, 8 - least(8, abs(line_sum - total) * 2)) else 0 end + priced * 1.5::double) * 10000 + 0.5) / 10000 as score from t")
@@ -289,23 +298,23 @@ def structural_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.coalesce("total", F.lit(0.0))
     near = F.when(total > 0, 5 + F.greatest(F.lit(0.0), 8 - F.least(F.lit(8.0), F.abs(F.col("line_sum") - total) * 2))).otherwise(0.0)
     value = F.col("items") * 4 + flag(~S.blank(F.col("market")).isin("", "Mercado não identificado"), 4) + flag(S.blank(F.col("cnpj")) != "", 6) + flag(S.blank(F.col("date")) != "", 4) + near + F.col("priced") * 1.5
-    return PARSED.df(spark).select("id", score(value).alias("score"))
+    return PARSED.df(spark, sf_dir).select("id", score(value).alias("score"))
 
 
 @query("ocr_escalation", f"with {PARSED.cte('t')} select id, items = 0 or coalesce(total, 0) <= 0 or coalesce(cnpj, '') = '' or coalesce(date, '') = '' or (declared > 0 and declared <> items) or bad > 0 or abs(line_sum - total) > 0.05 or passes < 3 or confidence < 0.84 or coverage < 0.82 or coalesce(needs_review, false) as escalate from t")
 def ocr_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = F.expr("items = 0 or coalesce(total, 0D) <= 0 or coalesce(cnpj, '') = '' or coalesce(date, '') = '' or (declared > 0 and declared <> items) or bad > 0 or abs(line_sum - total) > 0.05D or passes < 3 or confidence < 0.84D or coverage < 0.82D or coalesce(needs_review, false)")
-    return PARSED.df(spark).select("id", rule.alias("escalate"))
+    return PARSED.df(spark, sf_dir).select("id", rule.alias("escalate"))
 
 
 @query("publish_gate", f"with {PARSED.cte('t')} select id, case when items = 0 then 'NO_ITEMS' when audit is null then 'NOT_AUDITED' when audit <> 'PASS' then 'NOT_PASSED' when not coalesce(publish, false) then 'NOT_PUBLISHABLE' when coalesce(total, 0) <= 0 then 'NO_TOTAL' when coalesce(cnpj, '') <> '' and not ({D.cnpj_valid('cnpj')}) then 'BAD_CNPJ' else 'OK' end as gate from t")
 def publish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     gate = F.when(F.col("items") == 0, "NO_ITEMS").when(F.col("audit").isNull(), "NOT_AUDITED").when(F.col("audit") != "PASS", "NOT_PASSED").when(~F.coalesce("publish", F.lit(False)), "NOT_PUBLISHABLE")
     gate = gate.when(F.coalesce("total", F.lit(0.0)) <= 0, "NO_TOTAL").when((S.blank(F.col("cnpj")) != "") & ~S.cnpj_valid(F.col("cnpj")), "BAD_CNPJ").otherwise("OK")
-    return PARSED.df(spark).select("id", gate.alias("gate"))
+    return PARSED.df(spark, sf_dir).select("id", gate.alias("gate"))
 
 
-@query("match_status_counts", f"with {LINES.cte('l')} select receipt_id, " + ", ".join(f"count(*) filter (match_status = '{s}') as {s.lower()}" for s in ("EXACT", "STRONG", "REVIEW", "WEAK", "NEW", "AMBIGUOUS", "MANUAL")) + " from l group by 1")
+@query("match_status_counts", f"with {ALL_LINES} select receipt_id, " + ", ".join(f"count(*) filter (match_status = '{s}') as {s.lower()}" for s in ("EXACT", "STRONG", "REVIEW", "WEAK", "NEW", "AMBIGUOUS", "MANUAL")) + " from l group by 1")
 def match_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ("EXACT", "STRONG", "REVIEW", "WEAK", "NEW", "AMBIGUOUS", "MANUAL")
-    return LINES.df(spark).groupBy("receipt_id").agg(*(F.count_if(F.col("match_status") == s).alias(s.lower()) for s in kinds))
+    return all_lines(spark, sf_dir).groupBy("receipt_id").agg(*(F.count_if(F.col("match_status") == s).alias(s.lower()) for s in kinds))

@@ -10,7 +10,7 @@ from ..functions import scalars as S
 from ..functions import vocabulary as V
 from ..plans import duck as D
 from ..plans.model import CTES, Model
-from ..plans.registry import Fixture, query
+from ..plans.registry import Extended, Fixture, query
 
 W = f"with {CTES} "
 
@@ -44,7 +44,10 @@ def mapped(c: Column, table: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), c)
 
 
-OLD = Fixture("product_id string, sector string, category string, health string, active boolean", [("a", "Bebidas", "x", "Saudável", None), ("b", None, "Biscoitos", "Moderado", True), ("c", "?", "Mercearia", "Evitar", False), ("d", None, None, None, None), ("e", "Frios", "Frios", "talvez", True)])
+OLD = Extended(
+    "product_id string, sector string, category string, health string, active boolean", [("a", "Bebidas", "x", "Saudável", None), ("b", None, "Biscoitos", "Moderado", True), ("c", "?", "Mercearia", "Evitar", False), ("d", None, None, None, None), ("e", "Frios", "Frios", "talvez", True)],
+    "select 'p' || p_partkey as product_id, case p_partkey % 4 when 0 then 'Bebidas' when 1 then p_type when 2 then 'Frios' end as sector, case p_partkey % 6 when 0 then 'Padaria' when 1 then 'Mercearia' when 2 then 'Frios' when 3 then 'Limpeza' else p_brand end as category, case p_size % 5 when 0 then 'Moderado' when 1 then 'Evitar' when 2 then 'Saudável' else p_brand end as health, case when p_partkey % 3 = 0 then null else p_partkey % 2 = 0 end as active from {part}",
+)
 
 
 @query("migrate_sector", f"with {OLD.cte('t')}, s as (select product_id, case when sector in ({', '.join(map(D.q, V.SECTORS))}) then sector when category in ({', '.join(map(D.q, V.LEGACY_SECTORS))}) then {D.lookup('category', V.LEGACY_SECTORS)} when category in ({', '.join(map(D.q, V.SECTORS))}) then category else 'Outros' end as sector, case when health in ({', '.join(map(D.q, V.HEALTH_CLASSES))}) then health when health in ('Moderado', 'Evitar') then 'Não saudável' else 'Não classificado' end as health, coalesce(active, true) as active from t) select *, sector as category from s")
@@ -52,7 +55,7 @@ def migrate_sector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Older sectors and health classes become present ones; a missing flag means active."""
     sector = F.when(F.col("sector").isin(V.SECTORS), F.col("sector")).otherwise(F.coalesce(mapped(F.col("category"), V.LEGACY_SECTORS), F.when(F.col("category").isin(V.SECTORS), F.col("category")), F.lit("Outros")))
     health = F.when(F.col("health").isin(V.HEALTH_CLASSES), F.col("health")).otherwise(F.coalesce(mapped(F.col("health"), V.LEGACY_HEALTH), F.lit("Não classificado")))
-    return OLD.df(spark).select("product_id", sector.alias("sector"), health.alias("health"), F.coalesce("active", F.lit(True)).alias("active")).withColumn("category", F.col("sector"))
+    return OLD.df(spark, sf_dir).select("product_id", sector.alias("sector"), health.alias("health"), F.coalesce("active", F.lit(True)).alias("active")).withColumn("category", F.col("sector"))
 
 
 @query("list_progress", "select user_id as list_id, count(*) filter (event_type <> 'view') as included, count(*) filter (event_type = 'click') as bought, count(*) filter (event_type not in ('view', 'click')) as remaining from events group by 1")
@@ -62,13 +65,16 @@ def list_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Model(spark, sf_dir).table("events").groupBy(F.col("user_id").alias("list_id")).agg(F.count_if(kind != "view").alias("included"), F.count_if(kind == "click").alias("bought"), F.count_if(~kind.isin("view", "click")).alias("remaining"))
 
 
-TRIPS = Fixture("list_id string, product_id string, qty double, price double, checked boolean, session_id string", [("l1", "a", 2.0, 3.335, True, "s1"), ("l1", "b", 1.0, 0.0, True, "s1"), ("l1", "c", 0.0, 5.0, True, "s1"), ("l1", "d", 1.0, 5.0, False, "s1"), ("l2", "a", 1.0, None, True, "s2")])
+TRIPS = Extended(
+    "list_id string, product_id string, qty double, price double, checked boolean, session_id string", [("l1", "a", 2.0, 3.335, True, "s1"), ("l1", "b", 1.0, 0.0, True, "s1"), ("l1", "c", 0.0, 5.0, True, "s1"), ("l1", "d", 1.0, 5.0, False, "s1"), ("l2", "a", 1.0, None, True, "s2")],
+    "select 'l' || l_suppkey as list_id, cast(l_partkey as varchar(20)) as product_id, case when l_linenumber = 3 then 0 else l_quantity end as qty, case when l_linenumber = 2 then 0 else l_extendedprice end as price, l_orderkey % 3 <> 0 as checked, 's' || (l_orderkey % 10) as session_id from {lineitem}",
+)
 
 
 @query("trip_items", f"with {TRIPS.cte('t')} select list_id, session_id, product_id, greatest(0.001::double, case when coalesce(qty, 0) = 0 then 1.0::double else qty end) as quantity, floor(greatest(0.001::double, case when coalesce(qty, 0) = 0 then 1.0::double else qty end) * price * 100 + 0.5) / 100 as line_total from t where checked and price > 0")
 def trip_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checked entries with a price become items; a trip's total is never split over the others."""
-    lists = TRIPS.df(spark).groupBy("list_id", "session_id").agg(F.collect_list(F.struct("product_id", "qty", "price", "checked")).alias("items"))
+    lists = TRIPS.df(spark, sf_dir).groupBy("list_id", "session_id").agg(F.collect_list(F.struct("product_id", "qty", "price", "checked")).alias("items"))
     x = lists.select("list_id", "session_id", F.explode(F.filter("items", lambda i: i["checked"] & (i["price"] > 0))).alias("i"))
     qty = F.greatest(F.lit(0.001), F.when(F.coalesce("i.qty", F.lit(0.0)) == 0, 1.0).otherwise(F.col("i.qty")))
     return x.select("list_id", "session_id", "i.product_id", qty.alias("quantity"), S.round2(qty * F.col("i.price")).alias("line_total"))

@@ -16,7 +16,7 @@ from ..functions import scalars as S
 from ..functions import vocabulary as V
 from ..plans import duck as D
 from ..plans.model import Model
-from ..plans.registry import Fixture, query
+from ..plans.registry import Extended, Fixture, query
 from .names import edit_join
 from .scalars import PAIRS_SQL, name_pairs, score4
 
@@ -214,9 +214,10 @@ def product_name_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("r", F.row_number().over(w)).where("r <= 5").select(F.col("a").alias("name"), F.col("b").alias("neighbour"), "score")
 
 
-ITEM_PAIRS = Fixture(
+ITEM_PAIRS = Extended(
     "id long, code_a string, name_a string, total_a double, qty_a double, code_b string, name_b string, total_b double, qty_b double",
     [(1, "789", "Leite", 5.0, 1.0, "7-89", "leite", 5.03, 1.0), (2, None, "Leite integral", 5.0, 1.0, None, "Leite desnatado", 5.04, 2.0), (3, "1", "", 0.0, None, "2", None, 0.0, None), (4, None, "Pão de queijo", 9.0, 1.0, None, "queijo de pao", 9.0, 1.0005)],
+    "select l_orderkey + 1000000 as id, case when l_partkey % 3 = 0 then cast(l_partkey as varchar(20)) end as code_a, p_name as name_a, l_extendedprice as total_a, l_quantity as qty_a, case when l_partkey % 2 = 0 then cast(l_partkey as varchar(20)) end as code_b, case when l_linenumber = 1 then upper(p_name) else p_name || ' zero' end as name_b, l_extendedprice + (l_orderkey % 3) * 0.02e0 as total_b, l_quantity + l_orderkey % 2 as qty_b from {lineitem} join {part} on l_partkey = p_partkey",
 )
 
 
@@ -243,7 +244,7 @@ def _similarity_sql(tolerance: float, quantity: bool) -> str:
 @query("item_similarity", f"with {ITEM_PAIRS.cte('t')} select id, {D.score4(_similarity_sql(0.03, True))} as ocr, {D.score4(_similarity_sql(0.05, False))} as vision from t")
 def item_similarity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda s: {"code": F.col(f"code_{s}"), "name": F.col(f"name_{s}"), "total": F.col(f"total_{s}"), "qty": F.col(f"qty_{s}")}
-    return ITEM_PAIRS.df(spark).select("id", score4(item_similarity(side("a"), side("b"))).alias("ocr"), score4(item_similarity(side("a"), side("b"), 0.05, False)).alias("vision"))
+    return ITEM_PAIRS.df(spark, sf_dir).select("id", score4(item_similarity(side("a"), side("b"))).alias("ocr"), score4(item_similarity(side("a"), side("b"), 0.05, False)).alias("vision"))
 
 
 def key_lookup(wanted: DataFrame, products: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,3 +51,25 @@ class Fixture:
         rows = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in self.rows)
         casts = ", ".join(f"cast({n} as {TYPES[t]}) as {n}" for n, t in fields)
         return f"{name} as (select {casts} from (values {rows}) v({', '.join(n for n, _ in fields)}))"
+
+
+class Extended(Fixture):
+    """A fixture's rows, and rows that a statement makes of tables: odd cases by hand, the bulk from data.
+
+    The statement runs in both engines, names tables in braces and gives the fixture's columns.
+    """
+
+    def __init__(self, schema: str, rows: list[tuple], more: str):
+        super().__init__(schema, rows)
+        self.more, self.tables = more, sorted(set(re.findall(r"\{(\w+)\}", more)))
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = super().df(spark)
+        made = spark.sql(self.more, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in self.tables})
+        return own.unionByName(made.select(*(made[f.name].cast(f.dataType) for f in own.schema)))
+
+    def cte(self, name: str) -> str:
+        fields = [c.strip().split(" ") for c in self.schema.split(", ")]
+        head, _, body = super().cte(name).partition(" as (")
+        casts = ", ".join(f"cast({n} as {TYPES[t]}) as {n}" for n, t in fields)
+        return f"{head} as ({body[:-1]} union all select {casts} from ({self.more.format(**{t: t for t in self.tables})}))"
