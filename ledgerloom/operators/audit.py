@@ -181,11 +181,6 @@ dups as (select receipt_id, 'EXACT' as level from dr where length(k) = 44 and k
  union all select receipt_id, case when bool_or(dh.t = dr.t) then 'HIGH' when count(*) = 1 then 'MEDIUM' else 'REVIEW' end from dr join dh on dr.c = dh.c and dr.date = dh.date and abs(dh.total - dr.total) <= 0.05 where length(dr.k) <> 44 and dr.c <> '' group by 1)"""
 
 
-@query("duplicate_levels", f"with {HEADERS.cte('r')}, {HISTORY.cte('h')}, {DUPLICATE_SQL} select receipt_id, level from dups")
-def duplicate_levels_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_levels(HEADERS.df(spark), HISTORY.df(spark))
-
-
 def codes(*rules: tuple[str, Column]) -> Column:
     """The names of the rules that hold, in order."""
     return F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(False)), name) for name, rule in rules)))
@@ -228,12 +223,6 @@ rc as (select *, array_to_string([x for x in [case when n = 0 then 'NO_LINES' en
 receipts_audited as (select *, case when issues <> '' then 'BLOCK' when warnings <> '' then 'REVIEW' else 'PASS' end as status from rc)"""
 
 
-@query("audit_receipts", f"with {LINES.cte('l')}, {HEADERS.cte('r')}, {HISTORY.cte('h')}, {LINE_SQL}, {AUDIT_SQL} select receipt_id, ec / 100.0::double as expected, xc / 100.0::double as delta, coalesce(abs(xc) <= 5 and ap and counted, false) as balanced, case when xc < -5 then 'POSSIBLE_DISCOUNT_OR_ERROR' when xc > 5 then 'POSSIBLE_OVERCHARGE_OR_MISSING_SURCHARGE' else 'BALANCED' end as variance, issues, warnings, status, status = 'PASS' as can_publish, status = 'PASS' and level is null as can_auto_launch from receipts_audited")
-def audit_receipts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = audit_receipts(HEADERS.df(spark), audit_lines(LINES.df(spark)), HISTORY.df(spark))
-    return x.select("receipt_id", (F.col("expected_c").cast("double") / 100).alias("expected"), (F.col("delta_c").cast("double") / 100).alias("delta"), "balanced", "variance", F.array_join("issues", ",").alias("issues"), F.array_join("warnings", ",").alias("warnings"), "status", "can_publish", "can_auto_launch")
-
-
 def field_status(present: Column, conflicts: Column, confidence: Column) -> Column:
     return F.when(~present, "MISSING").when(conflicts > 0, "CONFLICT").when(confidence >= 0.8, "CONFIRMED").when(confidence >= 0.55, "INFERRED").otherwise("UNCERTAIN")
 

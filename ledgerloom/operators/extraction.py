@@ -14,7 +14,7 @@ from ..functions import scalars as S
 from ..functions import vocabulary as V
 from ..plans import duck as D
 from ..plans.model import CTES, Model
-from ..plans.registry import Fixture, query
+from ..plans.registry import Extended, Fixture, query
 from .scalars import read
 
 RECEIPT_1 = """SUPERMERCADO ALVORADA LTDA
@@ -273,8 +273,14 @@ def html_market_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("r") <= MARKET_ROWS).select("page_id", "key", "name")
 
 
-IMPORTS = Fixture("row long, code string, name string, brand string, quantity string", [(1, "100", "qualquer", "Marca X", "2,5"), (2, None, "Pão de Forma", "Panco", None), (3, None, "Produto Novo", None, "0"), (4, "999", "pao de forma", None, "1")])
-CATALOG = Fixture("product_id string, code string, name string, brand string", [("p1", "100", "Arroz", None), ("p2", None, "Pão de Forma", "Wickbold"), ("p3", None, "pao de forma", None)])
+IMPORTS = Extended(
+    "row long, code string, name string, brand string, quantity string", [(1, "100", "qualquer", "Marca X", "2,5"), (2, None, "Pão de Forma", "Panco", None), (3, None, "Produto Novo", None, "0"), (4, "999", "pao de forma", None, "1")],
+    "select p_partkey + 1000 as row, case when p_partkey % 3 = 0 then 'k' || p_partkey end as code, upper(p_name) as name, p_brand as brand, p_size || ',5' as quantity from {part}",
+)
+CATALOG = Extended(
+    "product_id string, code string, name string, brand string", [("p1", "100", "Arroz", None), ("p2", None, "Pão de Forma", "Wickbold"), ("p3", None, "pao de forma", None)],
+    "select 'p' || min(p_partkey) as product_id, 'k' || min(p_partkey) as code, p_name as name, case when min(p_partkey) % 2 = 0 then min(p_brand) end as brand from {part} group by p_name",
+)
 
 
 @query("import_upsert_fill_blanks", f"""with {IMPORTS.cte('i')}, {CATALOG.cte('c')}, h as (select i.row, c.product_id, 1 as pri from i join c on i.code = c.code where coalesce(i.code, '') <> '' union all select i.row, c.product_id, 2 from i join c on {D.norm('i.name')} = {D.norm('c.name')}),
@@ -282,8 +288,8 @@ b as (select row, arg_min(product_id, (pri, product_id)) as product_id from h gr
 select i.row, product_id, coalesce(c.name, i.name) as name, coalesce(nullif(c.brand, ''), i.brand) as brand, greatest(0.001::double, case when {D.parse_number('quantity', 'app')} = 0 then 1.0::double else {D.parse_number('quantity', 'app')} end) as quantity, product_id is null as inserted from i left join b using (row) left join c using (product_id)""")
 def import_upsert_fill_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows find a product by code, else by name; blanks of the product are filled, others are new."""
-    i = IMPORTS.df(spark).withColumn("key", S.normalize(F.col("name")))
-    c = CATALOG.df(spark).select("product_id", F.col("code").alias("c_code"), F.col("name").alias("c_name"), F.col("brand").alias("c_brand"))
+    i = IMPORTS.df(spark, sf_dir).withColumn("key", S.normalize(F.col("name")))
+    c = CATALOG.df(spark, sf_dir).select("product_id", F.col("code").alias("c_code"), F.col("name").alias("c_name"), F.col("brand").alias("c_brand"))
     by_code = i.where(S.blank(F.col("code")) != "").join(c, F.col("code") == F.col("c_code")).select("row", F.lit(1).alias("pri"), "product_id")
     by_name = i.join(c, F.col("key") == S.normalize(F.col("c_name"))).select("row", F.lit(2).alias("pri"), "product_id")
     best = by_code.unionByName(by_name).groupBy("row").agg(F.min(F.struct("pri", "product_id")).alias("b")).select("row", "b.product_id")

@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..plans import duck as D
 from ..plans.model import CTES, Model
 from ..plans.registry import query
-from .audit import AUDIT_SQL, HEADERS, HISTORY, LINE_SQL, LINES, STATUS_SQL, audit_lines, audit_receipts, field_status
+from .audit import AUDIT_SQL, DUPLICATE_SQL, HEADERS, HISTORY, LINE_SQL, LINES, STATUS_SQL, audit_lines, audit_receipts, duplicate_levels, field_status
 from .receipts import COPIES, HEADER_SQL, OBSERVED, observed_lines, receipt_headers
 
 W = f"with {CTES}"
@@ -134,21 +134,43 @@ def evidence(audited: DataFrame) -> DataFrame:
 
 
 _ORDERS = HEADER_SQL.replace("r as (select cast(p.", "ro as (select cast(p.").replace("from r where", "from ro where").replace("\nh as", "\nho as").replace("\nl as", "\nlo as")
-EVIDENCE_SQL = f"""{W}, ol as (select i.purchase_id, i.line_number, i.product_id, {OBSERVED.replace('product_id', 'i.product_id')} as name, i.quantity, i.unit_price_e4, i.line_cents from items i join products p using (product_id)), decided as (select distinct name, 'EXACT' as match_status from ol),
-{_ORDERS}, {LINES.cte('lf')}, {HEADERS.cte('rf')}, {HISTORY.cte('hf')}, r as (select * from rf union all by name select * from ro), l as (select * from lf union all by name select * from lo), h as (select * from hf union all by name select * from ho),
+RECEIPTS_SQL = f"""{W}, ol as (select i.purchase_id, i.line_number, i.product_id, {OBSERVED.replace('product_id', 'i.product_id')} as name, i.quantity, i.unit_price_e4, i.line_cents from items i join products p using (product_id)), decided as (select distinct name, 'EXACT' as match_status from ol),
+{_ORDERS}, {LINES.cte('lf')}, {HEADERS.cte('rf')}, {HISTORY.cte('hf')}, r as (select * from rf union all by name select * from ro), l as (select * from lf union all by name select * from lo), h as (select * from hf union all by name select * from ho)"""
+EVIDENCE_SQL = f"""{RECEIPTS_SQL},
 {LINE_SQL}, {AUDIT_SQL}, ba as (select * exclude (fiscal_key), {EXTRAS}, coalesce(abs(xc) <= 5 and ap and counted, false) as balanced from receipts_audited),
 ev as ({' union all '.join(f"select receipt_id, '{f}' as field, {str(need).lower()} as required, cast({v} as varchar) as v, 0 as conflicts, " + ("case when qr then 0.99 else coalesce(confidence, 0.0) end" if f == 'fiscalKey' else "case when balanced then 1.0 else 0.0 end" if f == 'auditMath' else "coalesce(confidence, 0.0)") + "::double as c, " + ("case when qr then 'qr' else " + f"replace({D.norm_receipt('source')}, ' ', '_')" + " end" if f == 'fiscalKey' else "'auditor'" if f == 'auditMath' else f"replace({D.norm_receipt('source')}, ' ', '_')") + " as source from ba" for f, need, v in EVIDENCE)})"""
 
 
 @query("receipt_evidence", f"{EVIDENCE_SQL} select receipt_id, field, required, {STATUS_SQL} as status, source, greatest(0.0, least(1.0, c))::double as confidence from ev")
 def receipt_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The evidence of all receipts, those of the fixtures and of the orders."""
+    """The evidence of all receipts."""
+    heads, lines, history = all_receipts(spark, sf_dir)
+    heads = heads.withColumn("said", F.col("declared"))  # the audit counts what isn't said as 0
+    audited = audit_receipts(heads, audit_lines(lines), history).withColumn("declared", F.col("said"))
+    extras = spark.sql(f"select * except (fiscal_key), {EXTRAS} from {{x}}", x=audited)
+    return evidence(extras.withColumn("balanced", F.coalesce("balanced", F.lit(False))))
+
+
+def all_receipts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Headers, lines and history of the fixtures and of the orders."""
     m = Model(spark, sf_dir)
     observed = observed_lines(m)
     heads, number = receipt_headers(m, observed), F.col("receipt_id").cast("long")
     history = heads.where(number % 7 == 0).select(F.col("receipt_id").alias("purchase_id"), "cnpj", "date", F.when(number % 2 == 0, "10:00").otherwise("11:00").alias("time"), (F.col("total") + 0.03).alias("total"), "fiscal_key")
-    lines = LINES.df(spark).unionByName(observed.withColumn("match_status", F.lit("EXACT")).select(LINES.df(spark).columns))
-    heads = HEADERS.df(spark).unionByName(heads).withColumn("said", F.col("declared"))  # the audit counts what isn't said as 0
-    audited = audit_receipts(heads, audit_lines(lines), HISTORY.df(spark).unionByName(history)).withColumn("declared", F.col("said"))
-    extras = spark.sql(f"select * except (fiscal_key), {EXTRAS} from {{x}}", x=audited)
-    return evidence(extras.withColumn("balanced", F.coalesce("balanced", F.lit(False))))
+    lines = LINES.df(spark)
+    lines = lines.unionByName(observed.withColumn("match_status", F.lit("EXACT")).select(lines.columns))
+    return HEADERS.df(spark).unionByName(heads), lines, HISTORY.df(spark).unionByName(history)
+
+
+@query("duplicate_levels", f"{RECEIPTS_SQL}, {DUPLICATE_SQL} select receipt_id, level from dups")
+def duplicate_levels_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads, _, history = all_receipts(spark, sf_dir)
+    return duplicate_levels(heads, history)
+
+
+@query("audit_receipts", f"{RECEIPTS_SQL}, {LINE_SQL}, {AUDIT_SQL} select receipt_id, ec / 100.0::double as expected, xc / 100.0::double as delta, coalesce(abs(xc) <= 5 and ap and counted, false) as balanced, case when xc < -5 then 'POSSIBLE_DISCOUNT_OR_ERROR' when xc > 5 then 'POSSIBLE_OVERCHARGE_OR_MISSING_SURCHARGE' else 'BALANCED' end as variance, issues, warnings, status, status = 'PASS' as can_publish, status = 'PASS' and level is null as can_auto_launch from receipts_audited")
+def audit_receipts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums, variance, issues, warnings and decision of all receipts."""
+    heads, lines, history = all_receipts(spark, sf_dir)
+    x = audit_receipts(heads, audit_lines(lines), history)
+    return x.select("receipt_id", (F.col("expected_c").cast("double") / 100).alias("expected"), (F.col("delta_c").cast("double") / 100).alias("delta"), "balanced", "variance", F.array_join("issues", ",").alias("issues"), F.array_join("warnings", ",").alias("warnings"), "status", "can_publish", "can_auto_launch")

@@ -280,14 +280,17 @@ def anti_seed_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.join(there, ["n", "b", "a"], "left_anti").select("name", F.col("n").alias("key"))
 
 
-READINGS = Fixture("receipt_id string, seq long, total string, date string, structural double, ocr double", [("a", 1, "10.00", "2026-01-01", 20.0, 0.5), ("a", 2, "12.00", "2026-01-02", 25.0, 0.1), ("a", 3, "12.00", "2026-01-01", 19.0, 0.9), ("a", 4, "10.00", None, 3.0, None), ("b", 1, None, "", 4.0, 0.2), ("b", 2, "7.50", "2026-02-01", 4.0, 0.2)])
+READINGS = Extended(
+    "receipt_id string, seq long, total string, date string, structural double, ocr double", [("a", 1, "10.00", "2026-01-01", 20.0, 0.5), ("a", 2, "12.00", "2026-01-02", 25.0, 0.1), ("a", 3, "12.00", "2026-01-01", 19.0, 0.9), ("a", 4, "10.00", None, 3.0, None), ("b", 1, None, "", 4.0, 0.2), ("b", 2, "7.50", "2026-02-01", 4.0, 0.2)],
+    "select 'o' || o_orderkey as receipt_id, 1 as seq, cast(o_totalprice as varchar(30)) as total, cast(cast(o_orderdate as date) as varchar(20)) as date, (o_orderkey % 23) * 1e0 as structural, case when o_orderkey % 4 <> 1 then (o_orderkey % 7) / 1e1 end as ocr from {orders} union all select 'o' || o_orderkey as receipt_id, 2 as seq, case when o_orderkey % 3 = 0 then '1.00' else cast(o_totalprice as varchar(30)) end as total, '' as date, (o_orderkey % 19) * 1e0 as structural, case when o_orderkey % 4 <> 2 then (o_orderkey % 7) / 1e1 end as ocr from {orders} union all select 'o' || o_orderkey as receipt_id, 3 as seq, case when o_orderkey % 3 = 0 then '1.00' else cast(o_totalprice as varchar(30)) end as total, cast(cast(o_orderdate as date) as varchar(20)) as date, (o_orderkey % 29) * 1e0 as structural, case when o_orderkey % 4 <> 3 then (o_orderkey % 7) / 1e1 end as ocr from {orders}",
+)
 
 
 @query("consensus_vote", f"with {READINGS.cte('t')}, v as (select receipt_id, 'total' as field, total as value, seq from t union all select receipt_id, 'date', date, seq from t), c as (select receipt_id, field, value, count(*) as votes, min(seq) as first from v where coalesce(value, '') <> '' group by 1, 2, 3), r as (select *, row_number() over (partition by receipt_id, field order by votes desc, first) as r from c) select receipt_id, field, value, votes from r where r = 1")
 def consensus_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent value, of equals the one seen first; struct order replaces a sort."""
     both = F.explode(F.array(F.struct(F.lit("total").alias("field"), F.col("total").alias("value")), F.struct(F.lit("date").alias("field"), F.col("date").alias("value"))))
-    v = READINGS.df(spark).select("receipt_id", "seq", both.alias("v")).select("receipt_id", "seq", "v.*").where("coalesce(value, '') <> ''")
+    v = READINGS.df(spark, sf_dir).select("receipt_id", "seq", both.alias("v")).select("receipt_id", "seq", "v.*").where("coalesce(value, '') <> ''")
     counted = v.groupBy("receipt_id", "field", "value").agg(F.count("*").alias("votes"), F.min("seq").alias("first"))
     best = counted.groupBy("receipt_id", "field").agg(F.max(F.struct("votes", -F.col("first"), "value")).alias("b"))
     return best.select("receipt_id", "field", "b.value", "b.votes")
@@ -298,7 +301,7 @@ def ocr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve best readings of each receipt (the limit is the operator's)."""
     score = F.col("structural") + 8 * F.coalesce("ocr", F.lit(0.0))
     w = Window.partitionBy("receipt_id").orderBy(score.desc(), "seq")
-    return READINGS.df(spark).select("receipt_id", "seq", score4(score).alias("score"), F.row_number().over(w).cast("long").alias("rank")).where("rank <= 12")
+    return READINGS.df(spark, sf_dir).select("receipt_id", "seq", score4(score).alias("score"), F.row_number().over(w).cast("long").alias("rank")).where("rank <= 12")
 
 
 SEEN = Fixture(
@@ -397,8 +400,14 @@ def vision_local_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_vision(SEEN.df(spark).where("source = 'p4'"), SEEN.df(spark).where("source = 'p6'"))
 
 
-KNOWN = Fixture("market_id string, name string", [("k1", "Supermercado Alvorada"), ("k2", "Padaria Central"), ("k3", "Mercado Bom Preço"), ("k4", "")])
-FOUND = Fixture("seq long, name string", [(1, "Alvorada"), (2, "Hortifruti do Vale"), (3, "mercado do VALE"), (4, "Bom Dia Mercado"), (5, None)])
+KNOWN = Extended(
+    "market_id string, name string", [("k1", "Supermercado Alvorada"), ("k2", "Padaria Central"), ("k3", "Mercado Bom Preço"), ("k4", "")],
+    "select 's' || s_suppkey as market_id, 'Supermercado ' || replace(s_name, 'Supplier#', 'Loja') as name from {supplier}",
+)
+FOUND = Extended(
+    "seq long, name string", [(1, "Alvorada"), (2, "Hortifruti do Vale"), (3, "mercado do VALE"), (4, "Bom Dia Mercado"), (5, None)],
+    "select s_suppkey + 1000 as seq, case s_suppkey % 4 when 0 then replace(s_name, 'Supplier#', 'Loja') when 1 then 'Hortifruti Bairro ' || s_suppkey when 2 then 'Mercado ' || replace(s_name, 'Supplier#', 'Loja') || ' Centro Norte Sul' else 'Padaria ' || replace(s_name, 'Supplier#', 'loja') end as name from {supplier}",
+)
 
 
 def check_markets(known: DataFrame, found: DataFrame) -> DataFrame:
@@ -424,21 +433,24 @@ out as (select 'uncertain' as status, name, 0.35::double as confidence from k wh
 
 @query("market_check", f"{CHECK_SQL} select * from out")
 def market_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check_markets(KNOWN.df(spark), FOUND.df(spark))
+    return check_markets(KNOWN.df(spark, sf_dir), FOUND.df(spark, sf_dir))
 
 
 @query("market_check_summary", f"{CHECK_SQL} select count(*) filter (status = 'new') as new, count(*) filter (status = 'changed') as changed, count(*) filter (status = 'inactive') as inactive, count(*) filter (status = 'uncertain') as uncertain, count(*) filter (status <> 'uncertain') as total_changes, count(*) as review_count from out")
 def market_check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("status")
     kinds = [F.count_if(s == k).alias(k) for k in ("new", "changed", "inactive", "uncertain")]
-    return check_markets(KNOWN.df(spark), FOUND.df(spark)).agg(*kinds, F.count_if(s != "uncertain").alias("total_changes"), F.count("*").alias("review_count"))
+    return check_markets(KNOWN.df(spark, sf_dir), FOUND.df(spark, sf_dir)).agg(*kinds, F.count_if(s != "uncertain").alias("total_changes"), F.count("*").alias("review_count"))
 
 
-SCORED_MARKETS = Fixture("market_id string, price double, variety double, distance double, quality double, service double", [("a", 0.9, 0.5, 0.3, 0.8, 0.7), ("b", 0.2, 1.0, 1.0, None, 0.1)])
+SCORED_MARKETS = Extended(
+    "market_id string, price double, variety double, distance double, quality double, service double", [("a", 0.9, 0.5, 0.3, 0.8, 0.7), ("b", 0.2, 1.0, 1.0, None, 0.1)],
+    "select 's' || s_suppkey as market_id, (s_suppkey % 10) / 1e1 as price, (s_suppkey % 7) / 1e1 as variety, (s_suppkey % 3) / 2e0 as distance, case when s_suppkey % 5 > 0 then (s_suppkey % 9) / 1e1 end as quality, s_acctbal / 1e5 as service from {supplier}",
+)
 WEIGHTS = {"price": 0.45, "variety": 0.2, "distance": 0.15, "quality": 0.1, "service": 0.1}
 
 
 @query("market_score", f"with {SCORED_MARKETS.cte('t')} select market_id, {D.score4(' + '.join(f'{w}::double * coalesce({c}, 0)' for c, w in WEIGHTS.items()))} as score from t")
 def market_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = sum((w * F.coalesce(c, F.lit(0.0)) for c, w in list(WEIGHTS.items())[1:]), WEIGHTS["price"] * F.coalesce("price", F.lit(0.0)))
-    return SCORED_MARKETS.df(spark).select("market_id", score4(value).alias("score"))
+    return SCORED_MARKETS.df(spark, sf_dir).select("market_id", score4(value).alias("score"))

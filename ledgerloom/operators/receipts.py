@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..plans import duck as D
 from ..plans.model import CTES, Model
-from ..plans.registry import Fixture, query
+from ..plans.registry import Extended, Fixture, query
 from .audit import AUDIT_SQL, LINE_SQL, audit_lines, audit_receipts
 from .matching import _score_sql, decide_matches
 from .scalars import score4
@@ -304,13 +304,16 @@ def migrate_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("purchase_id", "line_number", "product_id", F.coalesce(none("sector_snapshot", "N"), "category", F.lit("Outros")).alias("sector"), F.coalesce(none("health_snapshot", "O"), F.lit("Não classificado")).alias("health"))
 
 
-READ = Fixture("receipt_id string, seq long, name string, cnpj string, date string, total string, items int, sure int, priced int, declared int", [("a", 1, "Loja", "17833301002223", "2026-01-01", "10.00", 4, 4, 4, 5), ("a", 2, "Loja", "", "2026-01-02", "12.00", 0, 0, 0, 0), ("a", 3, "Laja", "17833301002223", "2026-01-01", "12.00", 0, 0, 0, 0), ("b", 1, None, None, None, None, 0, 0, 0, 0), ("c", 1, "Z", "1", "", "3.00", 2, 1, 2, 0), ("c", 2, "Y", "2", "2026-02-02", "3.00", 0, 0, 0, 0)])
+READ = Extended(
+    "receipt_id string, seq long, name string, cnpj string, date string, total string, items int, sure int, priced int, declared int", [("a", 1, "Loja", "17833301002223", "2026-01-01", "10.00", 4, 4, 4, 5), ("a", 2, "Loja", "", "2026-01-02", "12.00", 0, 0, 0, 0), ("a", 3, "Laja", "17833301002223", "2026-01-01", "12.00", 0, 0, 0, 0), ("b", 1, None, None, None, None, 0, 0, 0, 0), ("c", 1, "Z", "1", "", "3.00", 2, 1, 2, 0), ("c", 2, "Y", "2", "2026-02-02", "3.00", 0, 0, 0, 0)],
+    "select 'o' || o_orderkey as receipt_id, 1 as seq, 'Loja ' || o_custkey as name, case when o_orderkey % 5 = 0 then '' else lpad(cast(o_custkey as varchar(20)), 14, '0') end as cnpj, cast(cast(o_orderdate as date) as varchar(20)) as date, cast(o_totalprice as varchar(30)) as total, 3 + o_orderkey % 4 as items, o_orderkey % 3 as sure, o_orderkey % 4 as priced, o_orderkey % 6 as declared from {orders} union all select 'o' || o_orderkey as receipt_id, 2 as seq, case when o_orderkey % 2 = 0 then 'Laja ' || o_custkey else 'Loja ' || o_custkey end as name, '1' as cnpj, cast(cast(o_orderdate as date) as varchar(20)) as date, case when o_orderkey % 3 = 0 then '1.00' else cast(o_totalprice as varchar(30)) end as total, 3 as items, o_orderkey % 3 as sure, o_orderkey % 4 as priced, o_orderkey % 6 as declared from {orders} union all select 'o' || o_orderkey as receipt_id, 3 as seq, 'Laja ' || o_custkey as name, '1' as cnpj, cast(cast(o_orderdate as date) as varchar(20)) as date, case when o_orderkey % 3 = 0 then '1.00' else cast(o_totalprice as varchar(30)) end as total, 0 as items, o_orderkey % 3 as sure, o_orderkey % 4 as priced, o_orderkey % 6 as declared from {orders}",
+)
 
 
 @query("consensus_header", f"with {READ.cte('t')}, v as (select receipt_id, seq, unnest(['name', 'cnpj', 'date', 'total']) as field, unnest([name, cnpj, date, total]) as value from t), c as (select receipt_id, field, value, count(*) as votes, min(seq) as first from v where coalesce(value, '') <> '' group by 1, 2, 3), w as (select receipt_id, field, value from (select *, row_number() over (partition by receipt_id, field order by votes desc, first) as r from c) where r = 1), h as (select receipt_id, max(value) filter (field = 'name') as name, max(value) filter (field = 'cnpj') as cnpj, max(value) filter (field = 'date') as date, max(value) filter (field = 'total') as total from w group by 1), s as (select receipt_id, sum(items) as n, sum(sure) as k, sum(priced) as p, max(declared) as d from t group by 1) select receipt_id, coalesce(name, 'Mercado não identificado') as name, coalesce(cnpj, '') as cnpj, coalesce(date, '') as date, coalesce(cast(total as double), 0) as total, {D.score4('least(1.0::double, 0.35::double * (case when n = 0 then 0 else k::double / n end) + 0.25::double * least(1.0::double, p::double / greatest(1, case when d > 0 then d else n end)) + case when coalesce(cnpj, %s) <> %s then 0.2::double else 0 end + case when date is not null and coalesce(cast(total as double), 0) <> 0 then 0.2::double else 0 end)' % (D.q(''), D.q('')))} as confidence from s left join h using (receipt_id)")
 def consensus_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes on name, tax number, date and total, and the confidence: .35 sure lines, .25 coverage, .20 tax number, .20 date and total."""
-    t = READ.df(spark)
+    t = READ.df(spark, sf_dir)
     fields = ("name", "cnpj", "date", "total")
     votes = t.select("receipt_id", "seq", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("v")).select("receipt_id", "seq", "v.*").where("coalesce(value, '') <> ''")
     counted = votes.groupBy("receipt_id", "field", "value").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
@@ -344,13 +347,16 @@ def vision_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Settings that are never kept, fixed values of the domain.
 SECRET_SETTINGS = ("geminiApiKey", "allowDirectGeminiKey")
-SETTINGS = Fixture("name string, value string", [("geminiModel", "m"), ("geminiApiKey", "k"), ("healthEnabled", "true"), ("allowDirectGeminiKey", "true")])
+SETTINGS = Extended(
+    "name string, value string", [("geminiModel", "m"), ("geminiApiKey", "k"), ("healthEnabled", "true"), ("allowDirectGeminiKey", "true")],
+    "select r_name as name, 'v' || r_regionkey as value from {region}",
+)
 
 
-@query("settings_scrub", f"with {SETTINGS.cte('s')} select name, value from s where name not like '%Key'")
+@query("settings_scrub", f"with {SETTINGS.cte('s')} select name, value from s where name not in ('geminiApiKey', 'allowDirectGeminiKey')")
 def settings_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings without those that hold keys."""
-    return SETTINGS.df(spark).where(~F.col("name").isin(*SECRET_SETTINGS))
+    return SETTINGS.df(spark, sf_dir).where(~F.col("name").isin(*SECRET_SETTINGS))
 
 
 # Fixed values of the domain: what stands before a field on a public receipt page, and the field's form.
