@@ -128,9 +128,9 @@ def close(windows: list[Window], capacity: int) -> list[Window]:
     return out
 
 
-PLACED = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 DEALT = f"{PLACED}, uid long, ids binary"
-KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
 
 def _batch(out: list[tuple], schema: str) -> pa.RecordBatch:

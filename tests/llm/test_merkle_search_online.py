@@ -236,7 +236,9 @@ def test_packing_of_odd_rows(spark, ids_of, capacity, cell):
 
 def test_packing_query(spark, sf_dir, ids_of):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    sequences = check_packing(QUERIES["op13_sum_of_squares"](spark, sf_dir).collect(), texts, ids_of, 2048)
+    rows = QUERIES["op13_sum_of_squares"](spark, sf_dir)
+    assert {t for c, t in rows.dtypes} == {"bigint"}
+    sequences = check_packing(rows.collect(), texts, ids_of, 2048)
     assert sequences <= -(-sum(len(ids_of(t)) for _, t in texts) // 2048) + 11
 
 
