@@ -5,7 +5,7 @@ from __future__ import annotations
 from .operators import analytics, audit, extraction, fiscal, identity, lifecycle, matching, ordering, receipts, scalars, storage  # noqa: F401  they register their queries
 from .plans.registry import ORACLES, QUERIES
 from .sources import queries as _sources  # noqa: F401
-from .streaming import audit_log  # noqa: F401
+from .streaming import audit_log, sessions  # noqa: F401
 
 
 def queries() -> dict:
