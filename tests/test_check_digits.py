@@ -55,3 +55,14 @@ def test_cnpj_repair_of_many(spark):
     texts = ["".join(rng.choice("0123456789") for _ in range(rng.choice([14, 14, 14, 13]))) for _ in range(6000)] + [c * 14 for c in "0123456789"] + ["1" * 13 + "0", "0" * 12 + "91"]
     for text, got in results(spark, texts, S.repaired_cnpj, 15):
         assert got == repaired(text)
+
+
+def test_key_from_text_of_many(spark):
+    rng = random.Random(3)
+    texts = []
+    for i in range(20000):
+        key = made_key(rng, i % 3 > 0)
+        cut = rng.randrange(44)
+        texts.append([f"77{key}12\n3", key, f"{key[:cut]}\n{key[cut:]}", key[:-1], f"{made_key(rng, False)}\n\n{key}9"][i % 5])
+    for text, got in results(spark, texts, S.key_from_text, 15):
+        assert got == key_in_text(text)
