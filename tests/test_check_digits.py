@@ -66,3 +66,14 @@ def test_key_from_text_of_many(spark):
         texts.append([f"77{key}12\n3", key, f"{key[:cut]}\n{key[cut:]}", key[:-1], f"{made_key(rng, False)}\n\n{key}9"][i % 5])
     for text, got in results(spark, texts, S.key_from_text, 15):
         assert got == key_in_text(text)
+
+
+def test_key_from_qr_of_many(spark):
+    rng = random.Random(4)
+    texts = []
+    for i in range(30000):
+        key = made_key(rng, i % 3 > 0)
+        texts.append([f"https://x.gov.br/?a=b&P={key}%7C2", f"https://x.gov.br/?p=12&q={key}", key, f"x {key[:9]} {key[9:]}"][i % 4])
+    for text, got in results(spark, texts, S.key_from_qr, 13):
+        key = "".join(c for c in text.replace("%7C2", "").replace("p=12", "") if c.isdigit())
+        assert got == (key if key_valid(key) else "")
