@@ -75,3 +75,21 @@ def test_xml_files_of_many_documents(spark, tmp_path):
     (tmp_path / "b.xml").write_text("<infNFe Id='3' xmlns='http://x'><det nItem='1'><prod><cEAN>SEM</cEAN><vProd>1</vProd></prod></det></infNFe>")
     got = {r["id"]: r for r in X.read(spark, str(tmp_path)).collect()}
     assert sorted(got) == ["1", "2", "3"] and got["1"]["market"] == "A" and got["2"]["total"] == 2.5 and got["3"]["items"][0]["code"] == ""
+
+
+def test_json_items_that_are_no_objects(spark):
+    bodies = ['{"items":[1,{"name":"a"},"x",null,[{"name":"no"}],{"total":2,"name":{"k" : [1, "}"]}}]}', '{"total":"1e2","items":{"name":"one","qty":3}}', '\n {"a":"\\"items\\":[{","itens":[]}', '{"name":"\\ud800x","ITEMS":[{"name":"\\u00e9"}]}']
+    got = {(r["doc_id"], r["n"]): (r["name"], r["quantity"], r["total"]) for r in J.items(J.normalize(spark.createDataFrame(list(enumerate(bodies)), "doc_id long, body string"))).collect()}
+    assert got == {(0, 1): ("a", 0.0, 0.0), (0, 2): ('{"k":[1,"}"]}', 0.0, 2.0), (1, 1): ("one", 3.0, 0.0), (3, 1): ("é", 0.0, 0.0)}
+
+
+def test_json_of_unique_ids_is_neither_counted_nor_shuffled(spark):
+    """Fields come from one pass: no job before the query, and no exchange of bodies in it."""
+    docs = spark.range(4).selectExpr("id as doc_id", """'{"data":{"a":[{"name":"x"}],"items":[{"name":"y"}]}}' as body""")
+    tracker, group = spark.sparkContext.statusTracker(), "json-no-job"
+    spark.sparkContext.setJobGroup(group, group)
+    found = J.items(J.normalize(docs, unique=True))
+    assert not tracker.getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r["name"] for r in found.collect()] == ["y"] * 4
