@@ -93,3 +93,16 @@ def test_json_of_unique_ids_is_neither_counted_nor_shuffled(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert [r["name"] for r in found.collect()] == ["y"] * 4
+
+
+def test_xml_files_are_compressed_and_read_back(spark, tmp_path):
+    from ledgerloom.operators.fiscal import receipts
+    from ledgerloom.plans.model import Model
+
+    path = str(tmp_path / "nfe")
+    X.write(receipts(Model(spark, "/root/testdata/sf0.001")), path)
+    files = [f for f in (tmp_path / "nfe").iterdir() if f.name.startswith("part-")]
+    assert files and all(f.name.endswith(".xml.gz") for f in files)
+    rows = X.read(spark, path).select("id", F.size("items").alias("n")).collect()
+    assert len({r["id"] for r in rows}) == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert sum(r["n"] for r in rows) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
