@@ -110,14 +110,14 @@ def first_hits(body: str | None, fields: dict[str, set[str]], names: set[str]) -
 HIT = pa.struct([("place", pa.int32()), ("raw", pa.string()), ("kind", pa.string())])
 
 
-def _hits(fields: dict[str, tuple[str, ...]]):
+def _hits(fields: dict[str, tuple[str, ...]], along: tuple[str, ...]):
     own = {f: {n.lower() for n in names} for f, names in fields.items()}
-    every = set().union(*own.values())
+    every, kept = set().union(*own.values()), ("doc_id", *along)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [first_hits(body, own, every) for body in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([x.get(f) for x in found], HIT) for f in own)], ["doc_id", *own])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *(pa.array([x.get(f) for x in found], HIT) for f in own)], [*kept, *own])
 
     return run
 
@@ -134,11 +134,14 @@ def item_fields(m: Column) -> dict[str, Column]:
     return {"code": S.digits(some("code")), "name": some("name"), "quantity": amount("quantity"), "unit": unit, "unit_price": amount("unit_price"), "total": amount("total"), "discount": amount("discount")}
 
 
-def normalize(docs: DataFrame, unique: bool = False) -> DataFrame:
-    """market, cnpj, date, time, total and rows (its items as maps) of each document of (doc_id, body); ``unique`` says that no id comes twice."""
-    texts = docs.select("doc_id", F.when(F.try_parse_json("body").isNotNull(), F.col("body")).alias("text"))
+def normalize(docs: DataFrame, unique: bool = False, along: tuple[str, ...] = ()) -> DataFrame:
+    """market, cnpj, date, time, total and rows (its items as maps) of each document of (doc_id, body); ``unique`` says that no id comes twice, so other columns may come along."""
+    if along and not unique:
+        raise ValueError("columns come along with unique ids only")
+    texts = docs.select("doc_id", *along, F.when(F.try_parse_json("body").isNotNull(), F.col("body")).alias("text"))
     kinds = ", ".join(f"{f} struct<place:int,raw:string,kind:string>" for f in V.JSON_FIELDS)
-    x = texts.mapInArrow(_hits(V.JSON_FIELDS), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}")
+    kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *along))
+    x = texts.mapInArrow(_hits(V.JSON_FIELDS, along), f"{kept}, {kinds}")
     if not unique:
         x = x.groupBy("doc_id").agg(*(F.min(f).alias(f) for f in V.JSON_FIELDS))
     # objects and arrays without white space, as Spark writes them
@@ -148,7 +151,7 @@ def normalize(docs: DataFrame, unique: bool = False) -> DataFrame:
     each = F.transform(F.from_json("items.raw", "array<string>"), lambda r: F.from_json(r, MAP))
     listed = F.coalesce(F.from_json("items.raw", f"array<{MAP}>"), each)  # the latter where not all are objects
     rows = F.when(F.col("items.kind") == "array", listed).when(F.col("items.kind") == "object", F.array(F.from_json("items.raw", MAP))).otherwise(F.array().cast(f"array<{MAP}>"))
-    x = x.select("doc_id", said("market").alias("market"), S.digits(said("cnpj")).alias("cnpj"), F.substring(said("date"), 1, 10).alias("date"), time.alias("time"), number(said("total")).alias("total"), rows.alias("rows"))
+    x = x.select("doc_id", *along, said("market").alias("market"), S.digits(said("cnpj")).alias("cnpj"), F.substring(said("date"), 1, 10).alias("date"), time.alias("time"), number(said("total")).alias("total"), rows.alias("rows"))
     counts = lambda m: (item_fields(m)["name"] != "") | (item_fields(m)["total"] != 0)
     return x.withColumn("rows", F.filter("rows", counts))
 

@@ -106,3 +106,22 @@ def test_xml_files_are_compressed_and_read_back(spark, tmp_path):
     rows = X.read(spark, path).select("id", F.size("items").alias("n")).collect()
     assert len({r["id"] for r in rows}) == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
     assert sum(r["n"] for r in rows) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
+def test_enriching_deals_out_lines_once(spark, sf_dir):
+    """A document's JSON and XML stand in one row: lines are dealt out by order only, and not once more by document."""
+    from ledgerloom.operators import fiscal
+
+    plan = fiscal.enriched_items(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1 and plan.count("Relation [l_orderkey") == 1
+
+
+def test_enriched_documents_take_what_their_xml_lacks(spark):
+    from ledgerloom.operators import fiscal
+
+    body = '{"data":{"name":"J","cnpj":"1","date":"2026-01-02","total":7,"items":[{"name":"own","qty":2,"total":7}]}}'
+    xmls = {"a": None, "b": "", "c": "<infNFe><emit><xNome>X</xNome></emit></infNFe>", "d": "<infNFe><det><prod><xProd>x</xProd><vProd>3</vProd></prod></det></infNFe>", "e": "<infNFe><total><ICMSTot><vNF>9</vNF></ICMSTot></total><det><prod><xProd>cut</xProd>"}
+    docs = spark.createDataFrame([(k, body, x) for k, x in xmls.items()], "doc_id string, body string, xml string")
+    got = {r["doc_id"]: (r["market"], r["total"], [(i["name"], i["quantity"]) for i in r["items"]]) for r in fiscal.enrich(docs).collect()}
+    own = [("own", 2.0)]
+    assert got == {"a": ("J", 7.0, own), "b": ("J", 7.0, own), "c": ("X", 7.0, own), "d": ("J", 7.0, [("x", 0.0)]), "e": ("J", 9.0, own)}
