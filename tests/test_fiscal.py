@@ -125,3 +125,12 @@ def test_enriched_documents_take_what_their_xml_lacks(spark):
     got = {r["doc_id"]: (r["market"], r["total"], [(i["name"], i["quantity"]) for i in r["items"]]) for r in fiscal.enrich(docs).collect()}
     own = [("own", 2.0)]
     assert got == {"a": ("J", 7.0, own), "b": ("J", 7.0, own), "c": ("X", 7.0, own), "d": ("J", 7.0, [("x", 0.0)]), "e": ("J", 9.0, own)}
+
+
+def test_lines_are_dealt_out_without_what_follows_from_them(spark, sf_dir):
+    """What a document shows of a line (code, unit, amounts in units) is made after the shuffle; of texts only the name is in it."""
+    from ledgerloom.operators import fiscal
+
+    plan = fiscal.enrich_from_xml(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = next(x for x in plan.split("\n") if "collect_list(" in x)
+    assert dealt.split("collect_list(")[1].count("#") <= 20 and "789" not in dealt and "UN" not in dealt
