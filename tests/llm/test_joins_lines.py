@@ -222,3 +222,22 @@ def test_hot_joins_and_few_keys(spark):
     assert sorted(map(str, join_hot_apart(left, right, "k", 3).collect())) == want
     kept = without_keys(left, right, "k", 0).collect()
     assert len(kept) == 7 and len(without_keys(left, right, "k").collect()) == 7
+
+
+def test_shingles_of_few_members_are_looked_at_once(spark, monkeypatch):
+    """Their pairs are made in one join; no round carries their rows along."""
+    carried, real = {}, jaccard.Workspace.table
+
+    def table(self, name, df, codec="zstd"):
+        out = real(self, name, df, codec)
+        if name.startswith("state-") and "token" in out.columns:
+            carried[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard.Workspace, "table", table)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(10 * g + i, " ".join(f"{w}g{g}" for w in words) + f" end{g}x{i}") for g in range(12) for i in range(3)]
+    docs += [(1000 + g, " ".join(f"{w}g{g}" for w in words[:20]) + f" other{g} " * 20) for g in range(12)]
+    got = {r[0]: r[2] for r in jaccard.Join(spark, spark.createDataFrame(docs, "doc_id long, text string"), 4, 85, 100).components().collect()}
+    assert got == {d: d if d >= 1000 else d // 10 * 10 for d, _ in docs}
+    assert not any(carried.values())
