@@ -114,6 +114,8 @@ MERCHANT_BEGINS = r"(?i)^(supermercad|mercad|drogaria|farm[aá]cia|farmacia|pada
 COMPANY_WORDS = r"(?i)eireli|ltda|sa\b|s\.a\.|mei\b"
 TOTAL_LABELS = (r"valor\s*a\s*pagar", r"valor\s*pago", r"total\s*a\s*pagar", "^total")
 DISCOUNT_LABELS = ("desconto",)
+#: Any line with such a label, a payment or a count has one of these words, in capitals or not.
+TOTAL_WORDS, PAYMENT_WORDS, COUNT_WORDS = ("valor", "total"), ("cart", "dito", "pix", "dinheiro", "vale"), ("itens",)
 PAYMENT_LABELS = r"(?i)cart[aã]o\s+(?:de\s+)?d[eé]bito|cr[eé]dito|pix|dinheiro|vale"
 ITEM_NAME_CODE = r"(?i)^(.+?)\s*\(\s*c[oó]digo\s*:\s*([0-9]{4,14})\s*\).*$"
 ITEM_CODE_NAME = r"^\s*(\d{4,14})\s+(.{3,})$"
