@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.model import CTES, Model
 from ..plans.registry import query
@@ -30,7 +31,14 @@ LISTS = """select cast(l_suppkey as varchar(20)) as list, row_number() over (par
 def xlsx_list_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines as the lists of their suppliers, written as workbooks and read back row for row."""
     m, path = Model(spark, sf_dir), fresh_path(spark, "workbooks")
-    lists = spark.sql(LISTS.replace("from lineitem join part", "from {lineitem} join {part}"), lineitem=m.table("lineitem"), part=m.table("part"))
+    lines = m.table("lineitem").join(m.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    dealt = workbooks.by_list(lines.select(F.col("l_suppkey").cast("string").alias("list"), "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "p_name", "p_brand", "p_type", "p_size"))
+    row = F.row_number().over(Window.partitionBy("list").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))
+    text = lambda c: F.col(c).cast("string")
+    lists = dealt.select(
+        "list", row.alias("row"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"), F.concat(text("p_size"), F.lit(" un & <x>")).alias("pack"), F.lit("un").alias("unit"),
+        text("l_quantity").alias("quantity"), F.when(F.col("l_suppkey") % 2 == 0, 'Mercado "Boa" Vista').otherwise("").alias("market"), F.concat(F.lit("789"), text("l_partkey")).alias("code"),
+    )
     workbooks.write_lists(lists, path)
     return workbooks.read_lists(spark, path)
 

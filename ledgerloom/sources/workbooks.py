@@ -15,20 +15,24 @@ Null values are written as empty cells and read as empty texts; rows without a n
 from __future__ import annotations
 
 import itertools
+import operator
 import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from . import xlsx
 
 #: Entries of a workbook at most: a sheet has 1,048,576 rows, one of them the header.
 ROWS = 1_000_000
-BYTES = 64 << 20
+#: Bytes of a partition; compressed ones, some 40 to 60 an entry, so a task reads some tens of thousands of entries.
+BYTES = 2 << 20
+#: Entries of an Arrow batch at most.
+BATCH = 10_000
 SCHEMA = "list string, row long, " + ", ".join(f"{f} string" for f in xlsx.FIELDS)
 
 
@@ -68,13 +72,18 @@ class Reader(DataSourceReader):
             size += own
         return out or [Files([])]
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Files) -> Iterator:
+        """Arrow batches, so rows aren't converted one by one."""
+        import pyarrow as pa
+
         system, root = opened(self.path)
         for name in partition.names:
             with system.open_input_stream(f"{root}/{name}") as stream:
                 entries = xlsx.list_rows(stream.read())
-            for row, e in enumerate(entries, 1):
-                yield (name[: -len(".xlsx")], row, *(e.get(f) for f in xlsx.FIELDS))
+            for first in range(0, len(entries), BATCH):
+                part = entries[first : first + BATCH]
+                fields = [pa.array([e.get(f) for e in part], pa.string()) for f in xlsx.FIELDS]
+                yield pa.record_batch([pa.array([name[: -len(".xlsx")]] * len(part), pa.string()), pa.array(range(first + 1, first + len(part) + 1), pa.int64()), *fields], ["list", "row", *xlsx.FIELDS])
 
 
 @dataclass
@@ -91,10 +100,10 @@ class Writer(DataSourceWriter):
     def write(self, rows: Iterator) -> Written:
         system, root = opened(self.path)
         system.create_dir(f"{root}/{self.draft}", recursive=True)
-        names = []
-        for name, own in itertools.groupby(rows, key=lambda r: r["list"]):
+        names, key, at = [], operator.itemgetter(self.fields.index("list")), operator.itemgetter(*map(self.fields.index, xlsx.FIELDS))
+        for name, own in itertools.groupby(rows, key=key):
             for part in itertools.count():
-                cells = [["" if r[f] is None else r[f] for f in xlsx.FIELDS] for r in itertools.islice(own, ROWS)]
+                cells = [["" if v is None else v for v in at(r)] for r in itertools.islice(own, ROWS)]
                 if not cells:
                     break
                 draft = f"{uuid.uuid4().hex}.xlsx"
@@ -129,6 +138,13 @@ class Writer(DataSourceWriter):
             system.delete_dir(f"{root}/{self.draft}")
 
 
+class ArrowWriter(Writer, DataSourceArrowWriter):
+    """Takes rows as Arrow batches."""
+
+    def write(self, batches: Iterator) -> Written:
+        return super().write(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+
+
 class Workbooks(DataSource):
     """Options: ``path``; ``bytes`` of a partition when read."""
 
@@ -142,18 +158,24 @@ class Workbooks(DataSource):
     def reader(self, schema: StructType) -> Reader:
         return Reader(self.options["path"], int(self.options.get("bytes", BYTES)))
 
-    def writer(self, schema: StructType, overwrite: bool) -> Writer:
-        return Writer(self.options["path"], schema, overwrite)
+    def writer(self, schema: StructType, overwrite: bool) -> ArrowWriter:
+        return ArrowWriter(self.options["path"], schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Workbooks)
 
 
+def by_list(rows: DataFrame) -> DataFrame:
+    """Rows dealt out by list. The number of tasks is given, as workbooks cost time and not bytes, by which adaptive execution would join tasks;
+    rows that are dealt out so already aren't dealt out again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "list")
+
+
 def write_lists(lists: DataFrame, path: str, mode: str = "append") -> None:
     """Workbooks of rows of list, row and the fields; a list's rows meet in one task, as they do in one file."""
     register(lists.sparkSession)
-    lists.repartition("list").sortWithinPartitions("list", "row").write.format("workbook").mode(mode).save(path)
+    by_list(lists).sortWithinPartitions("list", "row").write.format("workbook").mode(mode).save(path)
 
 
 def read_lists(spark: SparkSession, path: str) -> DataFrame:

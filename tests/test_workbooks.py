@@ -60,3 +60,13 @@ def test_a_long_list_becomes_several_workbooks(spark, tmp_path, monkeypatch):
     writer.commit([writer.write(iter(lists(spark, *(("a", i, f"n{i}") for i in range(25))).collect())), None])
     assert sorted(p.name for p in tmp_path.glob("*.xlsx")) == ["a-1.xlsx", "a-2.xlsx", "a.xlsx"]
     assert [len(xlsx.list_rows((tmp_path / n).read_bytes())) for n in ("a.xlsx", "a-1.xlsx", "a-2.xlsx")] == [10, 10, 5]
+
+
+def test_lists_are_read_and_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(60_000).selectExpr("concat('l', id % 3) as list", "id div 3 as row", "sha2(cast(id as string), 256) as name", *(f"md5(concat('{f}', id)) as {f}" for f in xlsx.FIELDS[1:]))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(workbooks.by_list(workbooks.by_list(rows))).count("Exchange") == 1
+    workbooks.write_lists(rows, f"file://{tmp_path}")
+    back = workbooks.read_lists(spark, f"file://{tmp_path}")
+    assert back.rdd.getNumPartitions() == 3
+    assert back.count() == 60_000 and back.select(F.col("row") - 1, *back.columns[2:], "list").exceptAll(rows.selectExpr("row", *xlsx.FIELDS, "list")).count() == 0
