@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 
 from ledgerloom.llm import jaccard, linededup
@@ -241,3 +242,23 @@ def test_shingles_of_few_members_are_looked_at_once(spark, monkeypatch):
     got = {r[0]: r[2] for r in jaccard.Join(spark, spark.createDataFrame(docs, "doc_id long, text string"), 4, 85, 100).components().collect()}
     assert got == {d: d if d >= 1000 else d // 10 * 10 for d, _ in docs}
     assert not any(carried.values())
+
+
+def test_shingles_of_one_document_are_not_dealt_back(spark, monkeypatch):
+    """A batch is thousands of documents, so rows don't grow with batches times ranges; what occurs once isn't sent back to it."""
+    made, counted, real = {}, [], jaccard.Workspace.table
+
+    def table(self, name, df, codec="zstd"):
+        made[name] = real(self, name, df, codec)
+        return made[name]
+
+    monkeypatch.setattr(jaccard.Workspace, "table", table)
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(2000)] + [(5000 + i, " ".join(f"same{j}" for j in range(40)) + f" end{i}") for i in range(2)]
+    join = jaccard.Join(spark, spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), 4, 85, 100)
+    _, prefixes = join.prefixes()
+    assert made["sets"].count() <= 1 + 4 and {r[0] for r in prefixes.select("doc_id").collect()} == {5000, 5001}
+    parts = made["sets"].where("part >= 0").toArrow().select(["batch", "part", "held"])
+    for p in range(4):
+        found = jaccard._count(parts.filter(pc.equal(parts["part"], p)))
+        counted += [c for x in found["counts"].to_pylist() for c in np.frombuffer(x, "<u4").tolist()]
+    assert counted and set(counted) == {2}
