@@ -134,3 +134,24 @@ def test_lines_are_dealt_out_without_what_follows_from_them(spark, sf_dir):
     plan = fiscal.enrich_from_xml(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     dealt = next(x for x in plan.split("\n") if "collect_list(" in x)
     assert dealt.split("collect_list(")[1].count("#") <= 20 and "789" not in dealt and "UN" not in dealt
+
+
+def test_json_is_read_only_where_the_xml_lacks_something(spark, monkeypatch):
+    from ledgerloom.operators import fiscal
+
+    real, seen = J.normalize, []
+
+    def normalize(docs, *args, **kinds):
+        seen.append({r["doc_id"] for r in docs.where("body is not null").collect()})
+        return real(docs, *args, **kinds)
+
+    monkeypatch.setattr(J, "normalize", normalize)
+    det = "<det><prod><xProd>x</xProd><vProd>3</vProd></prod></det>"
+    head = "<ide><dhEmi>2026-01-02T10:00:00</dhEmi></ide><emit><CNPJ>1</CNPJ><xNome>X</xNome></emit>"
+    xmls = {"none": None, "items": f"<infNFe>{det}</infNFe>", "head": f"<infNFe>{head}<ICMSTot><vNF>3</vNF></ICMSTot></infNFe>", "whole": f"<infNFe>{head}{det}<ICMSTot><vNF>3</vNF></ICMSTot></infNFe>"}
+    docs = spark.createDataFrame([(k, '{"name":"J","total":7,"items":[{"name":"own"}]}', x) for k, x in xmls.items()], "doc_id string, body string, xml string")
+    headers, only = fiscal.enrich(docs).collect(), fiscal.enrich(docs, items_only=True).collect()
+    assert seen == [{"none", "items", "head"}, {"none", "head"}]
+    names = {"none": ["own"], "items": ["x"], "head": ["own"], "whole": ["x"]}
+    assert all({r["doc_id"]: [i["name"] for i in r["items"]] for r in rows} == names for rows in (headers, only))
+    assert {r["doc_id"]: (r["market"], r["total"]) for r in headers} == {"none": ("J", 7.0), "items": ("J", 7.0), "head": ("X", 3.0), "whole": ("X", 3.0)}
